@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TAG = r"<[^>]++>"
 
@@ -19,7 +20,7 @@ COMMON_ENTITIES = {
     "&gt;": ">",
     "&quot;": '"',
     "&#39;": "'",
-    "&nbsp;": " ",
+    "&nbsp;": "\xa0",
     "&middot;": "·",
     "&larr;": "←",
     "&rarr;": "→",
@@ -32,9 +33,12 @@ _OTHER_ENTITY = (
 )
 
 
-@F.pandas_udf("string")
-def _decode_entities(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+def _entity_decoder():
+    # local, so that it ships by value and workers need not have this package installed
+    def decode(text: pd.Series) -> pd.Series:
+        return text.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(decode, StringType())
 
 
 def strip_tags(raw: Column) -> Column:
@@ -51,4 +55,4 @@ def decode_entities(text: Column) -> Column:
     known = reduce(
         lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), COMMON_ENTITIES.items(), text
     )
-    return F.coalesce(_decode_entities(F.when(text.rlike(_OTHER_ENTITY), text)), known)
+    return F.coalesce(_entity_decoder()(F.when(text.rlike(_OTHER_ENTITY), text)), known)
