@@ -12,14 +12,13 @@ number in front.
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dimensions import AXES, dim_label
 from ..functions.text import blank_if_null, first_chars, null_if_blank
-from .scale import with_position
+from .scale import salted_join, with_position
 
 # Fixed values.
 SCHEMA_VERSION = "1.0"
@@ -69,15 +68,15 @@ def occurrences(failures: DataFrame) -> DataFrame:
     return complete(failures).groupBy(*KEY).agg(first).select(*KEY, "first.*")
 
 
-def unseen(occurrences_: DataFrame, ledger: DataFrame) -> DataFrame:
+def unseen(occ: DataFrame, ledger: DataFrame, runs: DataFrame) -> DataFrame:
     """JN-6: drop occurrences that the ledger holds.
 
-    A batch covers few runs of a long history, so the ledger is cut to those runs first; the
-    run list is the batch's own and small enough for adaptive execution to broadcast.
+    A batch covers few runs of a long history, so the ledger is cut to ``runs`` (the distinct
+    run ids of the batch) before it is shuffled; adaptive execution broadcasts that list when
+    its measured size allows.
     """
-    runs = occurrences_.select("run_id").distinct()
     known = ledger.select(*KEY).join(runs, "run_id", "left_semi")
-    return occurrences_.join(known, list(KEY), "left_anti")
+    return occ.join(known, list(KEY), "left_anti")
 
 
 def _first_seen(c: Column) -> Column:
@@ -115,7 +114,7 @@ def _latest(runs: DataFrame) -> DataFrame:
     )
 
 
-def _axis_counts(occ: DataFrame) -> DataFrame:
+def axis_counts(occ: DataFrame) -> DataFrame:
     """AGG-6. Counted per combination first, so that unpivoting multiplies few rows by four."""
     combos = occ.groupBy("signature_hash", *AXES).agg(F.count(F.lit(1)).alias("n"))
     return (
@@ -190,9 +189,6 @@ def recent_runs(occ: DataFrame) -> DataFrame:
     )
 
 
-axis_counts = _axis_counts
-
-
 def fold(occ: DataFrame, texts: DataFrame, batch: int = 0) -> Patterns:
     """Patterns of one batch. ``texts`` is :func:`signatures` of its failures."""
     core = (
@@ -249,17 +245,13 @@ def merge(old: Patterns, new: Patterns) -> Patterns:
     )
 
 
-def merge_all(parts: list[Patterns]) -> Patterns:
-    return reduce(merge, parts)
-
-
 def _nested_list(items: DataFrame, value: str, name: str, part_items: int) -> DataFrame:
     """Arrays of at most ``part_items`` values per (hash, part), in order of appearance."""
     placed = with_position(items, F.col("signature_hash"), F.col("ord"), F.col(value))
     start = placed.groupBy("signature_hash").agg(F.min("position").alias("_start"))
     at = F.col("position") - F.col("_start")
     return (
-        placed.join(start, "signature_hash")
+        salted_join(placed, start, "signature_hash", spread="position")
         .withColumn("part", F.floor(at / part_items).cast("int"))
         .groupBy("signature_hash", "part")
         .agg(F.array_sort(F.collect_list(F.struct("position", value))).alias("_items"))
