@@ -59,7 +59,7 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: str, spread: str, salts: int = 32
+    left: DataFrame, right: DataFrame, on: str | list[str], spread: str, salts: int = 32
 ) -> DataFrame:
     """Inner equi-join that splits each key of ``left`` over ``salts`` tasks.
 
@@ -67,6 +67,22 @@ def salted_join(
     of ``left`` that varies within a key. No side is hinted for broadcast: adaptive execution
     switches to that when the measured size allows it.
     """
+    keys = [on] if isinstance(on, str) else on
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [on, "_salt"]).drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has no more than ``rows`` rows; stops counting beyond that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores.
+
+    One small file is one task, however many regular expressions follow. An input with enough
+    splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
