@@ -31,7 +31,9 @@ _OUTSIDE = {
     "\\S": f"[^{_SPACE}]",
     "\\w": f"[{_WORD}]",
 }
-_WORD_STARTS, _WORD_ENDS = f"(?<![{_WORD}])", f"(?![{_WORD}])"
+# Java looks behind one UTF-16 unit unless the lookbehind holds a supplementary character; this
+# one is a digit, so it adds nothing to the class.
+_WORD_STARTS, _WORD_ENDS = f"(?<![{_WORD}\U0001d7d8])", f"(?![{_WORD}])"
 
 
 def java_regex(pattern: str, flags: str = "") -> str:

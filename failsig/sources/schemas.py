@@ -50,7 +50,10 @@ PATTERN_TABLES = {
     "recent": RECENT,
 }
 RUNS_SEEN = "run_id bigint"
-COMMITS = "version bigint, source string, batch_id bigint"
+COMMITS = (
+    "version bigint, source string, batch_id bigint, appended boolean,"
+    " tables map<string,bigint>"
+)
 
 # One JSON document per pattern.
 DOCUMENTS = (
