@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import first_chars, java_regex, strip
+from .text import blank_if_null, first_chars, java_regex, strip
 
 # Fixed values: (pattern, replacement, case-insensitive), applied in this order. Hashes depend
 # on every character here. "\1" in a replacement is the first group.
@@ -64,15 +64,15 @@ def signature(test_name: Column, error_excerpt: Column) -> Column:
 
 def signature_hash(sig: Column) -> Column:
     """SIG-2: the first 16 hex digits of SHA-256."""
-    return first_chars(F.sha2(sig, 256), HASH_CHARS)
+    return blank_if_null(first_chars(F.sha2(sig, 256), HASH_CHARS))
 
 
 def with_fingerprint(failures: DataFrame) -> DataFrame:
     """SIG-3: add ``signature`` and ``signature_hash``.
 
     Two projections: the hash refers to the signature column, and Catalyst keeps them apart
-    because merging them would run the regex chain twice.
+    because merging them would run the regex chain twice. Both columns cannot be null, so a join
+    on the hash adds no null filter that would run the chain once more.
     """
-    return failures.withColumn(
-        "signature", signature(F.col("test_name"), F.col("error_excerpt"))
-    ).withColumn("signature_hash", signature_hash(F.col("signature")))
+    test_name, error = (blank_if_null(F.col(c)) for c in ("test_name", "error_excerpt"))
+    return failures.withColumn("signature", signature(test_name, error)).withColumn("signature_hash", signature_hash(F.col("signature")))

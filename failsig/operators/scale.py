@@ -61,15 +61,16 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
 def salted_join(
     left: DataFrame, right: DataFrame, on: str | list[str], spread: str, salts: int = 32
 ) -> DataFrame:
-    """Inner equi-join that splits each key of ``left`` over ``salts`` tasks.
+    """Inner equi-join that splits each key of ``left`` over ``salts`` tasks, a power of two.
 
     ``right`` is repeated once per salt, so it should be the smaller side. ``spread`` is a column
     of ``left`` that varies within a key. No side is hinted for broadcast: adaptive execution
     switches to that when the measured size allows it.
     """
     keys = [on] if isinstance(on, str) else on
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # never null, unlike a modulus: the join adds no null filter to push down and evaluate
+    salted = left.withColumn("_salt", F.xxhash64(spread).bitwiseAND(F.lit(salts - 1)))
+    repeated = right.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
     return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
 
 

@@ -169,14 +169,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def apply_view(source: DataFrame, name: str) -> DataFrame:
+    """The columns of a view over its source, batch or stream."""
+    v = VIEWS[name]
+    rows = source.where(v.where) if v.where else source
+    return rows.selectExpr(*[f"{expr} AS {col}" for col, expr in v.columns.items()])
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return table(spark, sf_dir, name)
-    v = VIEWS[name]
-    source = view(spark, sf_dir, v.source)
-    if v.where:
-        source = source.where(v.where)
-    return source.selectExpr(*[f"{expr} AS {col}" for col, expr in v.columns.items()])
+    return apply_view(view(spark, sf_dir, VIEWS[name].source), name)
 
 
 def log_text(lines: DataFrame) -> DataFrame:

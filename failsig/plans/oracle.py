@@ -488,4 +488,7 @@ ORACLE: dict[str, str] = {
     "failures_per_artifact": _sql(
         _JOB, "SELECT run_id, artifact_id, count(*) AS failures FROM f GROUP BY ALL"
     ),
+    "stream_ingest": _sql(
+        _P, "SELECT signature_hash, count, first_seen, last_seen, title FROM p"
+    ),
 }

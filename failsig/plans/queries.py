@@ -17,7 +17,9 @@ from ..operators import categorize, fold, index, links, report
 from ..operators.parse import parse_logs
 from ..operators.scale import checkpoint_dir, checkpointed
 from ..sources.ci import failed_jobs, failed_runs, log_artifacts
-from .derived import PATTERN_REPLY, log_html, log_text, table, view
+from ..sources.knowledge_base import KnowledgeBase
+from ..streaming.ingest import stream_failures
+from .derived import PATTERN_REPLY, apply_view, log_html, log_text, table, view
 from .failures import log_failures, run_artifacts, runs_covered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,6 +482,30 @@ def failures_per_artifact(spark, sf_dir):
     return index.failures_per_artifact(_all_failures(spark, sf_dir))
 
 
-def scratch(spark: SparkSession) -> str:
+def _scratch(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/failsig-{uuid.uuid4().hex}"
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """STR-1..3, SRC-6..8, SNK-1, JN-5, JN-6: the events as a stream into a knowledge base."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    failures = with_fingerprint(fold.complete(apply_view(events, "failures_v")))
+    place = F.struct(
+        *[F.lit(0).cast("bigint").alias(c) for c in ("run_ord", "run_tie")],
+        F.col("seq").alias("artifact_ord"),
+        F.lit(0).alias("file_ord"),
+        F.lit("").alias("filename"),
+        *[F.lit(0).alias(c) for c in ("parser_ord", "pos")],
+    )
+    failures = (
+        failures.withColumn("seq", place)
+        .withColumn("artifact_id", F.lit(0).cast("bigint"))
+        .withColumn("suite_name", F.lit(""))
+    )
+    root = _scratch(spark)
+    kb = KnowledgeBase(spark, f"{root}/kb")
+    stream_failures(failures, kb, f"{root}/stream", "events").awaitTermination()
+    return kb.patterns().core.select("signature_hash", "count", "first_seen", "last_seen", "title")

@@ -76,8 +76,7 @@ def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
     files = (
         spark.readStream.option("pathGlobFilter", "*.html")
         .option("recursiveFileLookup", True)
-        .option("wholetext", True)
-        .text(path)
+        .text(path, wholetext=True)
     )
     return files.select(
         F.regexp_extract(file, r"/run_id=(\d+)/", 1).cast("bigint").alias("run_id"),

@@ -173,7 +173,7 @@ def test_positions_are_consecutive(spark):
 def test_salted_join_is_a_join(spark):
     left = spark.range(0, 300).select((F.col("id") % 3).alias("k"), "id")
     right = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c"), (5, "d")], "k bigint, v string")
-    got = salted_join(left, right, "k", spread="id", salts=5)
+    got = salted_join(left, right, "k", spread="id", salts=4)
     assert got.exceptAll(left.join(right, "k")).count() == 0 and got.count() == 300
 
 
