@@ -30,31 +30,39 @@ _OUTSIDE = {
     "\\s": f"[{_SPACE}]",
     "\\S": f"[^{_SPACE}]",
     "\\w": f"[{_WORD}]",
+    "\\b": f"(?![{_WORD}])",
 }
 # Java looks behind one UTF-16 unit unless the lookbehind holds a supplementary character; this
 # one is a digit, so it adds nothing to the class.
-_WORD_STARTS, _WORD_ENDS = f"(?<![{_WORD}\U0001d7d8])", f"(?![{_WORD}])"
+_WORD_STARTS = f"(?<![{_WORD}\U0001d7d8])"
 
 
 def java_regex(pattern: str, flags: str = "") -> str:
-    r"""Spell out ``\d \s \\S \\w \\b`` as Python means them.
+    r"""Spell out ``\d \s \S \w \b`` as Python means them.
 
-    A ``\\b`` must stand next to a word character of the pattern: after it, or before it when it
-    opens the pattern. One lookaround is then enough, at half the price of the general form.
-    ``flags`` are Java inline flags; ``d`` (only ``\\n`` ends a line) is always on.
+    A ``\b`` must stand next to a word character of the pattern: after it, or before it when it
+    opens the pattern. One lookaround is then enough, at half the price of the general form; an
+    opening one looks behind only where the next atom fits.
+    ``flags`` are Java inline flags; ``d`` (only ``\n`` ends a line) is always on.
     """
+    opening, rest = "", pattern
+    if pattern.startswith(r"\b"):
+        rest = pattern.removeprefix(r"\b")
+        atom = re.match(r"\(?(\[[^\]]*\]|\\.|.)", rest)[1]
+        opening = f"(?={_spelled(atom)}){_WORD_STARTS}"
+    return f"(?d{flags}){opening}{_spelled(rest)}"
+
+
+def _spelled(pattern: str) -> str:
     in_class = False
     out = []
     for token in re.findall(r"\\.|[^\\]", pattern, re.DOTALL):
-        if token == "\\b":
-            out.append(_WORD_ENDS if out else _WORD_STARTS)
-            continue
         out.append((_INSIDE if in_class else _OUTSIDE).get(token, token))
         if token == "[":
             in_class = True
         elif token == "]":
             in_class = False
-    return f"(?d{flags})" + "".join(out)
+    return "".join(out)
 
 
 def strip(c: Column) -> Column:

@@ -30,8 +30,15 @@ def prompts(patterns: Patterns, force: bool = False) -> DataFrame:
     )
 
 
-def ask(prompts_: DataFrame, answer: Callable[[str], str | None]) -> DataFrame:
-    """UDF-3, JSN-4: ``answer(prompt)`` for every row; a call that fails gives a null reply."""
+def ask(
+    prompts_: DataFrame, answer: Callable[[str], str | None], tasks: int | None = None
+) -> DataFrame:
+    """UDF-3, JSN-4: ``answer(prompt)`` for every row; a call that fails gives a null reply.
+
+    A call may take seconds and a prompt few bytes, so the rows are dealt out over ``tasks``
+    (by default one per core) instead of by size. That is also the number of calls at a time.
+    """
+    tasks = tasks or prompts_.sparkSession.sparkContext.defaultParallelism
 
     def safely(prompt: str) -> str | None:
         try:
@@ -48,7 +55,8 @@ def ask(prompts_: DataFrame, answer: Callable[[str], str | None]) -> DataFrame:
                 }
             )
 
-    return prompts_.mapInPandas(run, "signature_hash string, content string")
+    dealt = prompts_.repartition(tasks, "signature_hash")
+    return dealt.mapInPandas(run, "signature_hash string, content string")
 
 
 def usable_replies(replies: DataFrame) -> DataFrame:

@@ -79,11 +79,11 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many tasks as there are cores.
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """A scan over at least as many tasks as there are cores, by the hash of a key column.
 
     One small file is one task, however many regular expressions follow. An input with enough
     splits is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)

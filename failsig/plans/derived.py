@@ -166,7 +166,8 @@ PATTERN_REPLY = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, by=rows.columns[0])
 
 
 def apply_view(source: DataFrame, name: str) -> DataFrame:
@@ -183,8 +184,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log_text(lines: DataFrame) -> DataFrame:
-    """One log per run. A run has at most 25 lines by the definition of ``failures_v``."""
-    return lines.groupBy("run_id").agg(
+    """One log per run. A run has at most 25 lines by the definition of ``failures_v``.
+
+    The partition count is fixed: parsing follows in the same stage, and partitions that look
+    small by their bytes would be merged into few slow tasks.
+    """
+    session = lines.sparkSession
+    tasks = max(
+        session.sparkContext.defaultParallelism,
+        int(session.conf.get("spark.sql.shuffle.partitions")),
+    )
+    return lines.repartition(tasks, "run_id").groupBy("run_id").agg(
         F.expr("listagg(line, chr(10)) WITHIN GROUP (ORDER BY seq) || chr(10)").alias("text")
     )
 

@@ -19,7 +19,8 @@ _LOG_KEY = ["run_id", "artifact_id"]
 
 
 def run_artifacts(runs: DataFrame, artifacts: DataFrame, suite: str | None = None) -> DataFrame:
-    """The log artifacts of ``runs`` with run columns and axes."""
+    """The log artifacts of ``runs`` with run columns and axes. One run may have most of them,
+    so runs are split."""
     run_cols = {"html_url": "run_url", "event": "run_event", "head_sha": "head_sha"}
     known = runs.select(
         "run_id",
@@ -29,7 +30,8 @@ def run_artifacts(runs: DataFrame, artifacts: DataFrame, suite: str | None = Non
             for c, name in run_cols.items()
         ],
     )
-    out = known.join(log_artifacts(artifacts).drop("expired"), "run_id")
+    kept = log_artifacts(artifacts).select("run_id", "artifact_id", "name")
+    out = salted_join(kept, known, "run_id", spread="artifact_id", salts=8)
     for axis, value in artifact_axes(F.col("name")).items():
         out = out.withColumn(axis, value)
     out = out.drop("name").withColumn("dim_label", dim_label())

@@ -56,7 +56,10 @@ def link(kb: KnowledgeBase, markers: DataFrame) -> None:
 
 
 def analyze(
-    kb: KnowledgeBase, answer: Callable[[str], str | None] | None, force: bool = False
+    kb: KnowledgeBase,
+    answer: Callable[[str], str | None] | None,
+    force: bool = False,
+    tasks: int | None = None,
 ) -> None:
     """Ask ``answer`` once per pattern without category; without it everything stays as it is.
 
@@ -67,7 +70,7 @@ def analyze(
     patterns = kb.patterns()
     version = kb.next_version()
     path = f"{kb.root}/replies/version={version}"
-    replies = categorize.ask(categorize.prompts(patterns, force), answer)
+    replies = categorize.ask(categorize.prompts(patterns, force), answer, tasks)
     replies.write.mode("overwrite").parquet(path)
     usable = categorize.usable_replies(kb.spark.read.schema(replies.schema).parquet(path))
     kb.replace_patterns(

@@ -15,7 +15,7 @@ from ..functions.replies import parse_reply
 from ..functions.text import blank_if_null
 from ..operators import categorize, fold, index, links, report
 from ..operators.parse import parse_logs
-from ..operators.scale import checkpoint_dir, checkpointed
+from ..operators.scale import checkpoint_dir, checkpointed, salted_join
 from ..sources.ci import failed_jobs, failed_runs, log_artifacts
 from ..sources.knowledge_base import KnowledgeBase
 from ..streaming.ingest import stream_failures
@@ -277,7 +277,9 @@ def pattern_lookup(spark, sf_dir):
     """SRC-7 as a join: failures with the state of the pattern they belong to."""
     failures = _stored_failures(spark, sf_dir)
     counts = fold.pattern_counts(fold.occurrences(failures)).select("signature_hash", "count")
-    return failures.select("seq", "signature_hash").join(counts, "signature_hash")
+    return salted_join(
+        failures.select("seq", "signature_hash"), counts, "signature_hash", spread="seq"
+    )
 
 
 # -- index ------------------------------------------------------------------------------

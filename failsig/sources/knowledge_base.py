@@ -76,8 +76,8 @@ class KnowledgeBase:
     def grown(self, table: str) -> DataFrame:
         """All committed rows of a table that only grows."""
         rows = self._read(table, f"{_GROWING[table]}, version bigint")
-        ingests = self._commits().filter("appended").select("version")  # one row per ingest
-        return rows.join(F.broadcast(ingests), "version", "left_semi").drop("version")
+        ingests = self._commits().filter("appended").select("version")
+        return rows.join(ingests, "version", "left_semi").drop("version")
 
     def runs_seen(self) -> DataFrame:
         """SRC-8."""
