@@ -19,10 +19,12 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Fixed value: the line boundaries of str.splitlines.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# The line boundaries of str.splitlines, as members of a character class.
+LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+LINE_BREAK = rf"\r\n|[{LINE_ENDS}]"
 
 _SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
+_INDENT = f"[{_SPACE}&&[^{LINE_ENDS}]]"
 _WORD = r"\p{L}\p{N}_"
 _INSIDE = {"\\d": r"\p{Nd}", "\\s": _SPACE, "\\w": _WORD}
 _OUTSIDE = {
@@ -84,6 +86,21 @@ def split_lines(c: Column) -> Column:
     return F.split(c, LINE_BREAK)
 
 
+def pack_lines(c: Column) -> Column:
+    """Stripped lines without the empty ones, one line feed between them.
+
+    The same as splitting, stripping, filtering and joining, in one pass over the text.
+    """
+    edge = rf"(?<!{_INDENT}){_INDENT}*+[{LINE_ENDS}][{_SPACE}]*+"
+    return strip(F.regexp_replace(c, edge, "\n"))
+
+
+def lines_after(c: Column, mark: str) -> Column:
+    """Array of what follows ``mark`` on each line that starts with it, indented or not."""
+    line = rf"(?:\A|[{LINE_ENDS}]){_INDENT}*+{re.escape(mark)}([^{LINE_ENDS}]*+)"
+    return F.regexp_extract_all(c, F.lit(line), F.lit(1))
+
+
 def blank_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import decode_entities, strip_tags
-from ..functions.text import first_chars, java_regex, rstrip, split_lines, strip
+from ..functions.text import first_chars, java_regex, lines_after, pack_lines, rstrip, strip
 
 # The shapes of the two log grammars.
 GINKGO_HEADER = (
@@ -46,8 +46,12 @@ def repo_relative(path: Column) -> Column:
 
 
 def _find_blocks(text: Column, parser_ord: int, header: str, until: str) -> Column:
-    """All blocks that start with ``header`` and run to ``until`` or the end of the text."""
-    pattern = java_regex(rf"{header}(?s:.*?)(?={until}|\z)", "m")
+    """All blocks that start with ``header`` and run to a line with ``until`` or to the end.
+
+    The tail is taken line by line: ``until`` is tried once per line, and the possessive loop
+    needs no stack however long the block.
+    """
+    pattern = java_regex(rf"{header}[^\n]*+(?:\n(?!{until})[^\n]*+)*+", "m")
     return F.transform(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda block, i: F.struct(
@@ -64,34 +68,25 @@ def _after_header(block: Column, header: str) -> Column:
     return F.substring(block, F.length(_group(block, header, 0)) + F.lit(1), F.length(block))
 
 
-def _non_blank_lines(c: Column) -> Column:
-    return F.filter(F.transform(split_lines(c), strip), lambda line: line != "")
-
-
-def _ginkgo_fields(block: Column, rest: Column, lines: Column) -> dict[str, Column]:
+def _ginkgo_fields(block: Column, rest: Column, where: Column) -> dict[str, Column]:
     """PAR-3: the assertion inside the block, or its first lines when there is none."""
-    where = _group(rest, GINKGO_DETAIL, 2)
     return {
         "test_name": strip(_group(block, GINKGO_HEADER, 3)),
         "suite_name": strip(_group(block, GINKGO_HEADER, 1)),
         "path": F.when(where != "", where).otherwise(_group(block, GINKGO_HEADER, 4)),
         "error_excerpt": F.when(
             where != "", strip(_group(rest, GINKGO_DETAIL, 1))
-        ).otherwise(first_chars(F.array_join(lines, "\n"), FALLBACK_CHARS)),
+        ).otherwise(first_chars(pack_lines(rest), FALLBACK_CHARS)),
     }
 
 
-def _bats_fields(block: Column, rest: Column, lines: Column) -> dict[str, Column]:
+def _bats_fields(block: Column, rest: Column, command: Column) -> dict[str, Column]:
     """PAR-4: the named cause, or the first diagnostic lines when there is none."""
     tag = strip(_group(block, BATS_HEADER, 2))
-    command = _group(rest, BATS_CAUSE, 1)
     cause = F.concat(
         F.lit("`"), command, F.lit("' failed"), rstrip(_group(rest, BATS_CAUSE, 2))
     )
-    diagnostics = F.transform(
-        F.slice(F.filter(lines, lambda line: line.startswith("#")), 1, DIAGNOSTIC_LINES),
-        lambda line: strip(F.regexp_replace(line, r"\A#", "")),
-    )
+    diagnostics = F.transform(F.slice(lines_after(rest, "#"), 1, DIAGNOSTIC_LINES), strip)
     file = _group(rest, BATS_FILE, 1)
     return {
         "test_name": strip(_group(block, BATS_HEADER, 3)),
@@ -134,11 +129,12 @@ def parse_logs(logs: DataFrame, html: str = "html") -> DataFrame:
         return F.when(is_ginkgo, ginkgo_value).otherwise(bats_value)
 
     # one projection per layer: what several fields share is evaluated once
+    found = F.col("_found")
     rests = blocks.withColumn(
         "_rest", pick(_after_header(block, GINKGO_HEADER), _after_header(block, BATS_HEADER))
-    ).withColumn("_lines", _non_blank_lines(rest))
-    by_ginkgo = _ginkgo_fields(block, rest, F.col("_lines"))
-    by_bats = _bats_fields(block, rest, F.col("_lines"))
+    ).withColumn("_found", pick(_group(rest, GINKGO_DETAIL, 2), _group(rest, BATS_CAUSE, 1)))
+    by_ginkgo = _ginkgo_fields(block, rest, found)
+    by_bats = _bats_fields(block, rest, found)
     return rests.select(
         *keep,
         "parser_ord",

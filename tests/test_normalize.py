@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from failsig.functions.normalize import RULES, normalize, signature_hash, with_fingerprint
-from failsig.functions.text import LINE_BREAK, WHITESPACE, split_lines, strip
+from failsig.functions.text import WHITESPACE, lines_after, pack_lines, split_lines, strip
 
 GOLDEN = {
     "4f7bbf3deb36f4a2": "podman build with a secret from file|Command failed with exit status <N>."
@@ -35,7 +35,7 @@ CASES = [
     ("bind 0.0.0.0:43185 in use", "bind <N>.<N>.<N>.<N>:<PORT> in use"),
     ("PID 12 and pid=7", "pid=<PID> and pid=<PID>"),
     ("exit status 125, t93", "exit status <N>, t93"),
-    ("  a \t\n b c\x1c ", "a b c"),
+    ("  a \t\n b\u2003c\x1c ", "a b c"),
     ("", ""),
 ]
 
@@ -58,10 +58,10 @@ def test_agrees_with_python_regular_expressions(spark):
     """Unicode digits, letters, marks and spaces, where the dialects differ by default."""
     rng = random.Random(7)
     pieces = [
-        "12", "0x1f", "é", "é", "٠١", "²", "Ⅷ", "_", "-", " ", " ", "\x1d", "\x85",
-        " ", "\n", "ms", "s", "seconds", "pid=", "PİD ", "pıd=", ":", "4318", "/home/", "/tmp/CI_", "ab", "deadbeef",
-        "abcdef012345", "<+", ">", "podman_bats.", "/var/tmp/", "/podman/", "[12:00:00]", "中", "𝟜", ".", "Z",
-        "2026-08-14T12:19:41", "08/15/26 20:38:15", "K", "xyz123-", "‍",
+        "12", "0x1f", "é", "e\u0301", "٠١", "²", "Ⅷ", "_", "-", " ", "\xa0", "\x1d", "\x85",
+        "\u2028", "\n", "ms", "s", "seconds", "pid=", "PİD ", "pıd=", ":", "4318", "/home/", "/tmp/CI_", "ab", "deadbeef",
+        "abcdef012345", "<+", ">", "podman_bats.", "/var/tmp/", "/podman/", "[12:00:00]", "中", "\U0001d7dc", ".", "Z",
+        "2026-08-14T12:19:41", "08/15/26 20:38:15", "K", "xyz123-", "\u200d",
     ]
     texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(4000)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, a string")
@@ -72,7 +72,7 @@ def test_agrees_with_python_regular_expressions(spark):
 
 def test_strip_and_split_lines_follow_python(spark):
     assert set(WHITESPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
-    texts = [f"a{sep}b" for sep in ("\r\n", *map(chr, range(0x2030)))] + [" x ", "　x\x1f", "\n\r"]
+    texts = [f"a{sep}b" for sep in ("\r\n", *map(chr, range(0x2030)))] + [" x ", "\u3000x\x1f", "\n\r"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, a string")
     rows = df.select("i", strip(F.col("a")).alias("s"), split_lines(F.col("a")).alias("l")).collect()
     for r in rows:
@@ -80,7 +80,21 @@ def test_strip_and_split_lines_follow_python(spark):
         # str.splitlines has no element behind a final break
         lines = r.l[:-1] if r.l[-1] == "" else r.l
         assert lines == texts[r.i].splitlines(), repr(texts[r.i])
-    assert LINE_BREAK.startswith(r"\r\n")
+
+
+def test_line_helpers_equal_splitting(spark):
+    rng = random.Random(3)
+    pieces = ["a", "# b", "#", " ", "\t", "\xa0", "\r\n", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\u2028"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select(
+        "i", pack_lines(F.col("t")).alias("p"), lines_after(F.col("t"), "#").alias("m")
+    ).collect()
+    for r in rows:
+        lines = [line.strip() for line in texts[r.i].splitlines()]
+        assert r.p == "\n".join(line for line in lines if line), repr(texts[r.i])
+        marked = [line[1:].strip() for line in lines if line.startswith("#")]
+        assert [m.strip() for m in r.m] == marked, repr(texts[r.i])
 
 
 @pytest.mark.parametrize("expected", GOLDEN)
