@@ -46,7 +46,7 @@ def prompt_text(
         first_chars(or_else(blank_if_null(excerpt), "not captured"), PROMPT_CHARS),
         F.lit("\n\nPick one category:\n" + "\n".join(f"- {c}" for c in CATEGORIES)),
         F.lit(
-            "\n\nUse deterministic-regression only for real breakage that a re-run cannot fix."
+            "\n\nChoose deterministic-regression if the code is broken and would fail again."
             '\nAnswer with one JSON object with the string keys "category", "confidence"'
             ' (high, medium or low), "analysis" and "mitigation".\n'
         ),

@@ -100,11 +100,12 @@ def _bats_fields(block: Column, rest: Column, command: Column) -> dict[str, Colu
     }
 
 
-def parse_logs(logs: DataFrame, html: str = "html") -> DataFrame:
+def parse_logs(logs: DataFrame, html: str = "html", keep_clean: bool = False) -> DataFrame:
     """PAR-6: one row per failed test, the other columns of ``logs`` kept.
 
     ``suite`` picks the grammar: ``int`` has only the first, ``sys`` only the second, any other
-    suite both. The order of the records of one log is (``parser_ord``, ``pos``).
+    suite both. The order of the records of one log is (``parser_ord``, ``pos``). With
+    ``keep_clean`` a log without failures gives one row with nulls.
     """
     keep = [c for c in logs.columns if c != html]
     text = logs.select(*keep, strip_tags(F.col(html)).alias("_stripped")).select(
@@ -121,7 +122,8 @@ def parse_logs(logs: DataFrame, html: str = "html") -> DataFrame:
         (suite != "int") & body.contains("not ok"),
         _find_blocks(body, BATS, BATS_HEADER, BATS_NEXT),
     ).otherwise(none)
-    blocks = text.select(*keep, F.inline(F.concat(ginkgo, bats)))
+    explode = F.inline_outer if keep_clean else F.inline
+    blocks = text.select(*keep, explode(F.concat(ginkgo, bats)))
 
     is_ginkgo, block, rest = F.col("parser_ord") == GINKGO, F.col("block"), F.col("_rest")
 

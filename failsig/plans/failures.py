@@ -57,6 +57,19 @@ def _seq():
     ).alias("seq")
 
 
+def parse_without_suite(logs: DataFrame, keep_clean: bool = False) -> DataFrame:
+    """Records of both grammars, for logs whose suite is not known yet."""
+    return parse_logs(logs.withColumn("suite", F.lit("")), keep_clean=keep_clean).drop("suite")
+
+
+def _fitting(records: DataFrame) -> DataFrame:
+    """PAR-6 after the fact: drop records of the grammar that the suite does not have."""
+    unfit = ((F.col("suite") == "int") & (F.col("parser_ord") == BATS)) | (
+        (F.col("suite") == "sys") & (F.col("parser_ord") == GINKGO)
+    )
+    return records.filter(~unfit)
+
+
 def log_failures(
     logs: DataFrame,
     artifacts_of_runs: DataFrame,
@@ -66,19 +79,26 @@ def log_failures(
 
     ``artifacts_of_runs`` is :func:`run_artifacts`. If its counted size allows, it is broadcast
     and logs of other runs drop out before they are parsed. Otherwise all logs are parsed with
-    both grammars and the small failure rows go to the join, spread over several tasks per
-    artifact; the grammar that does not fit the suite is dropped there.
+    both grammars and the small failure records go to the join.
     """
     if at_most(artifacts_of_runs, broadcast_rows):
         records = parse_logs(logs.join(F.broadcast(artifacts_of_runs), _LOG_KEY))
-    else:
-        parsed = parse_logs(logs.withColumn("suite", F.lit(""))).drop("suite")
-        spread = parsed.withColumn("_spread", F.struct("filename", "parser_ord", "pos"))
-        joined = salted_join(spread, artifacts_of_runs, _LOG_KEY, spread="_spread", salts=8)
-        unfit = ((F.col("suite") == "int") & (F.col("parser_ord") == BATS)) | (
-            (F.col("suite") == "sys") & (F.col("parser_ord") == GINKGO)
-        )
-        records = joined.filter(~unfit).drop("_spread")
+        return _fingerprinted(records)
+    return record_failures(parse_without_suite(logs), artifacts_of_runs)
+
+
+def record_failures(records: DataFrame, artifacts_of_runs: DataFrame) -> DataFrame:
+    """Fingerprinted failures of :func:`parse_without_suite` records. An artifact with many
+    records is split over several tasks."""
+    records = records.filter(F.col("parser_ord").isNotNull())  # clean logs
+    place = F.struct("filename", "parser_ord", "pos")
+    joined = salted_join(
+        records.withColumn("_spread", place), artifacts_of_runs, _LOG_KEY, "_spread", salts=8
+    )
+    return _fingerprinted(_fitting(joined))
+
+
+def _fingerprinted(records: DataFrame) -> DataFrame:
     columns = [
         "run_id",
         "run_url",

@@ -16,13 +16,14 @@ from ..sources.schemas import PATTERN_TABLES
 def ingest(
     kb: KnowledgeBase,
     failures: DataFrame,
-    runs: DataFrame,
+    runs: DataFrame | None = None,
     source: str = "",
     batch_id: int = -1,
 ) -> DataFrame | None:
     """Fold fingerprinted failures into the knowledge base; AGG-13 as the result.
 
-    ``runs`` are the runs the batch covers, with or without failures. Failures and new
+    ``runs`` are the runs the batch covers, with or without failures; by default those with
+    failures. Failures and new
     occurrences are stored before they are used again, so logs are parsed once and every table
     is folded from columns on disk. A stream batch that is in already changes nothing.
     """
@@ -40,7 +41,8 @@ def ingest(
             stored.select("run_id").distinct(),
         ),
     )
-    kb.write("runs_seen", version, runs.select("run_id").distinct())
+    covered = stored if runs is None else runs
+    kb.write("runs_seen", version, covered.select("run_id").distinct())
     merged = fold.merge(known, fold.fold(occ, fold.signatures(stored), batch=version))
     for name, table in merged.tables().items():
         kb.write(name, version, table)

@@ -53,6 +53,7 @@ def _patterns(spark: SparkSession, sf_dir: str) -> fold.Patterns:
 
 
 def _categorized(patterns: fold.Patterns) -> fold.Patterns:
+    patterns = patterns.with_core(checkpointed(patterns.core))  # a stored table in a real job
     replies = patterns.core.select("signature_hash", F.expr(PATTERN_REPLY).alias("content"))
     return patterns.with_core(
         categorize.apply_replies(patterns.core, categorize.usable_replies(replies))
@@ -233,15 +234,14 @@ def pattern_documents(spark, sf_dir):
     )
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def _windows(failures: DataFrame) -> list[DataFrame]:
     """Two ingest windows that overlap in the middle of each month."""
-    failures = _stored_failures(spark, sf_dir)
     day = F.substring("created_at", 9, 2)
     return [failures.filter(day <= "20"), failures.filter(day >= "10")]
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> fold.Patterns:
-    first, second = _windows(spark, sf_dir)
+    first, second = _windows(_stored_failures(spark, sf_dir))
     ledger = fold.occurrences(first)
     new = fold.unseen(fold.occurrences(second), ledger, second.select("run_id").distinct())
     return fold.merge(
@@ -285,16 +285,14 @@ def pattern_lookup(spark, sf_dir):
 # -- index ------------------------------------------------------------------------------
 
 
-def _runs_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-2: run ids over the two ingest windows."""
-    first, second = _windows(spark, sf_dir)
-    return first.select("run_id").union(second.select("run_id")).distinct()
-
-
 @query
 def index_summary(spark, sf_dir):
-    """AGG-10, AGG-12, AGG-15, RPT-5, SET-2."""
-    return index.totals(_patterns(spark, sf_dir).core, _runs_seen(spark, sf_dir))
+    """AGG-10, AGG-12, AGG-15, RPT-5, SET-2: totals, the runs being those of two windows."""
+    failures = _stored_failures(spark, sf_dir)
+    first, second = _windows(failures)
+    runs = first.select("run_id").union(second.select("run_id")).distinct()
+    core = fold.fold(fold.occurrences(failures), fold.signatures(failures)).core
+    return index.totals(core, runs)
 
 
 @query
@@ -319,7 +317,7 @@ def runs_coverage(spark, sf_dir):
 @query
 def ingest_stats(spark, sf_dir):
     """AGG-13, SET-3: the second window against the patterns of the first."""
-    first, second = _windows(spark, sf_dir)
+    first, second = _windows(_stored_failures(spark, sf_dir))
     return index.ingest_stats(second, fold.signatures(first))
 
 
@@ -492,8 +490,12 @@ def _scratch(spark: SparkSession) -> str:
 @query
 def stream_ingest(spark, sf_dir):
     """STR-1..3, SRC-6..8, SNK-1, JN-5, JN-6: the events as a stream into a knowledge base."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    path = f"{sf_dir}/events.parquet*"
+    landed = spark.read.parquet(path)
+    events = spark.readStream.schema(landed.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if landed.rdd.getNumPartitions() < cores:  # as spread() does for a table
+        events = events.repartition(cores, "event_id")
     failures = with_fingerprint(fold.complete(apply_view(events, "failures_v")))
     place = F.struct(
         *[F.lit(0).cast("bigint").alias(c) for c in ("run_ord", "run_tie")],

@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.fold import KEY
-from ..plans.failures import log_failures, run_artifacts, runs_covered
+from ..plans.failures import (
+    parse_without_suite,
+    record_failures,
+    run_artifacts,
+    runs_covered,
+)
 from ..plans.jobs import ingest
 from ..sources import schemas
 from ..sources.knowledge_base import KnowledgeBase
@@ -41,7 +46,7 @@ def stream_failures(
     """STR-1 for a stream of fingerprinted failures. ``trigger`` defaults to what is there now."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        ingest(kb, batch, batch.select("run_id"), source, batch_id)
+        ingest(kb, batch, None, source, batch_id)
 
     return _write(failures, each, checkpoint, trigger or {"availableNow": True})
 
@@ -56,18 +61,24 @@ def stream_logs(
 ) -> StreamingQuery:
     """STR-1 for a stream of logs.
 
+    Logs are parsed in the stream, once; each micro-batch holds the small failure records, and a
+    bare row for a clean log, whose run is covered too.
     ``run_tables`` gives the failed runs and the artifacts; it is called per batch, so rows that
     landed meanwhile are seen.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        runs, artifacts = run_tables()
-        ids = batch.select("run_id").distinct()
-        runs = runs.join(ids, "run_id", "left_semi")
-        failures = log_failures(batch, run_artifacts(runs, artifacts))
-        ingest(kb, failures, runs_covered(runs, artifacts), source, batch_id)
-
-    return _write(logs, each, checkpoint, trigger or {"availableNow": True})
+        records = batch.persist()  # the run ids and the join read it
+        try:
+            runs, artifacts = run_tables()
+            runs = runs.join(records.select("run_id").distinct(), "run_id", "left_semi")
+            failures = record_failures(records, run_artifacts(runs, artifacts))
+            ingest(kb, failures, runs_covered(runs, artifacts), source, batch_id)
+        finally:
+            records.unpersist()
+
+    stream = parse_without_suite(logs, keep_clean=True)
+    return _write(stream, each, checkpoint, trigger or {"availableNow": True})
 
 
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:

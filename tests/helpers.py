@@ -9,16 +9,16 @@ from failsig.operators import fold
 from failsig.sources import schemas
 
 RECORD = {
-    "test_name": "podman logs follow",
-    "error_excerpt": "assertion failed",
-    "test_file": "test/system/035-logs.bats:399",
+    "test_name": "volume list shows labels",
+    "error_excerpt": "unexpected output",
+    "test_file": "test/system/044-journal.bats:71",
     "suite": "sys",
     "mode": "local",
     "priv": "root",
     "distro": "fedora-prior",
     "run_id": 1,
     "created_at": "2026-08-15T10:00:00Z",
-    "run_url": "https://example.invalid/1",
+    "run_url": "https://ci.invalid/1",
     "run_event": "push",
     "head_sha": "0123456789abcdef",
 }
@@ -54,8 +54,8 @@ def folded(spark, *changes):
 def write_tree(root):
     """A checkout with markers in two languages."""
     files = {
-        "test/system/161-volume-quotas.bats": '@test "quota" {\n    skip "FIXME #27759: selinux"\n}\n',
-        "test/e2e/checkpoint_test.go": 'func x() {\n\tSkip("FIXME: #24571 - flaky")\n}\n',
+        "test/system/171-quota.bats": '@test "quota" {\n    skip "FIXME #31001: selinux"\n}\n',
+        "test/e2e/snapshot_test.go": 'func x() {\n\tSkip("FIXME: #31002 - flaky")\n}\n',
         "test/e2e/clean_test.go": "func y() {}\n",
         "test/e2e/a-b/z_test.go": "// skip_if see #1234, skip #5678\n// skip #99\n",
         "test/e2e/a/z_test.go": "line one\r\nfixme (#123456) skipped for #4444\n",

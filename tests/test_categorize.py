@@ -36,7 +36,7 @@ def test_prompt(spark):
     given = F.when(F.col("title") == "done", "infrastructure").otherwise("")
     p = p.with_core(p.core.withColumn("category", given))
     (row,) = categorize.prompts(p).collect()
-    assert "Test: podman logs follow\nOccurrences: 2\n" in row.prompt
+    assert "Test: volume list shows labels\nOccurrences: 2\n" in row.prompt
     # axes by name, as stored documents have them
     assert "distro=debian/fedora-prior, mode=local, priv=root, suite=sys" in row.prompt
     assert "not captured" in row.prompt and "- deterministic-regression" in row.prompt

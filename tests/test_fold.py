@@ -16,7 +16,7 @@ def one(patterns):
 
 def test_runs_add_up_in_one_pattern(spark):
     row = one(folded(spark, {"run_id": 1}, {"run_id": 2}))
-    assert (row["count"], row.title) == (2, "podman logs follow")
+    assert (row["count"], row.title) == (2, "volume list shows labels")
 
 
 def test_a_run_and_label_count_once(spark):

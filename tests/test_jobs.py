@@ -34,6 +34,7 @@ RUNS = [
     (2, "ci.yml", "failure", "pull_request", "u2", "b" * 40, "2026-08-15T00:00:00Z"),
     (3, "ci.yml", "success", "push", "u3", "c" * 40, "2026-08-16T00:00:00Z"),
     (4, "other.yml", "failure", "push", None, None, None),
+    (5, "other.yml", "failure", "push", None, None, None),
 ]
 ARTIFACTS = [
     (1, 11, "int-local-root-fedora-prior.logs", False),
@@ -42,8 +43,9 @@ ARTIFACTS = [
     (2, 22, "sys-remote-root-debian-sid.logs", True),
     (3, 31, "int-local-root-x.logs", False),
     (4, 41, "notes.zip", False),
+    (5, 51, "sys-local-root-x.logs", False),
 ]
-HTML = {11: GINKGO + BATS, 12: BATS, 21: BATS, 22: BATS, 31: GINKGO, 41: GINKGO}
+HTML = {11: GINKGO + BATS, 12: BATS, 21: BATS, 22: BATS, 31: GINKGO, 41: GINKGO, 51: CLEAN}
 
 
 def tables(spark):
@@ -93,10 +95,10 @@ def test_run_and_artifact_scans(spark, tmp_path):
     runs, artifacts = tables(spark)
     assert [r.run_id for r in failed_runs(runs, limit=2).collect()] == [2, 1]
     assert [r.run_id for r in failed_runs(runs, event="push", workflow="ci.yml").collect()] == [1]
-    assert failed_runs(runs, limit=None).count() == 3
-    assert log_artifacts(artifacts).count() == 4
+    assert failed_runs(runs, limit=None).count() == 4
+    assert log_artifacts(artifacts).count() == 5
     covered = runs_covered(failed_runs(runs, limit=None), artifacts)
-    assert sorted(r.run_id for r in covered.collect()) == [1, 2]
+    assert sorted(r.run_id for r in covered.collect()) == [1, 2, 5]
     rows = spark.createDataFrame([(1, 2, "n", "failure"), (1, 3, "n", "success")], schemas.JOBS)
     assert [r.job_id for r in failed_jobs(rows).collect()] == [2]
 
@@ -143,13 +145,13 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert core_rows(kb) == EXPECTED
     # the same window again changes nothing
     assert run() == (8, 5, 0)
-    assert core_rows(kb) == EXPECTED and kb.runs_seen().count() == 2
+    assert core_rows(kb) == EXPECTED and kb.runs_seen().count() == 3
     assert kb.grown("occurrences").count() == 8 and kb.grown("failures").count() == 16
 
     tree = tmp_path / "tree"
     path = tree / "test" / "system"
     path.mkdir(parents=True)
-    (path / "035-logs.bats").write_text("skip # see #4321\nskip # see #4322\n")
+    (path / "044-journal.bats").write_text("skip # see #4321\nskip # see #4322\n")
     (path / "900.bats").write_text("skip # see #9999\n")
     markers = find_markers(source_lines(spark, str(tree)))
     jobs.link(kb, markers)
@@ -157,7 +159,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     jobs.analyze(kb, lambda p: '{"category": "test-race"}' if "Test: follows" in p else "?")
 
     report = {k: t.collect() for k, t in jobs.report_tables(kb, markers).items()}
-    assert tuple(report["totals"][0]) == (5, 8, 3, 2)
+    assert tuple(report["totals"][0]) == (5, 8, 3, 3)
     assert [r.rank for r in report["frequency"]] == [1, 2, 3, 4, 5]
     top = report["details"][0]
     assert (top.title, top.tracked_by, top.category) == ("follows the journal", "#4321, #4322", "test-race")
@@ -174,7 +176,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "report" / "frequency")).count() == 5
     jobs.write_index(kb, str(tmp_path / "index"))
     head = spark.read.json(str(tmp_path / "index" / "head")).first()
-    assert (head.pattern_count, head.runs_scanned, head.total_occurrences) == (5, 2, 8)
+    assert (head.pattern_count, head.runs_scanned, head.total_occurrences) == (5, 3, 8)
     assert head.categories.asDict() == {"test-race": 1, "uncategorized": 4}
 
     # out as documents and in again
@@ -235,6 +237,8 @@ def test_stream_of_logs(spark, tmp_path):
     once = log_failures(read_html_logs(spark, str(tmp_path / "logs")), run_artifacts(*run()))
     streamed = kb.grown("failures")
     assert streamed.count() == 8 and streamed.drop("seq").exceptAll(once.drop("seq")).isEmpty()
+    # run 4 has no log artifact; run 5 only a clean one
+    assert sorted(r.run_id for r in kb.runs_seen().collect()) == [1, 2, 5]
     folder = tmp_path / "logs" / "run_id=1" / "artifact_id=12"
     (folder / "late.html").write_text("not ok 1 late\n")
     stream_logs(logs, run, kb, checkpoint, "logs").awaitTermination()
@@ -270,3 +274,20 @@ def test_watermarked_occurrences(spark, tmp_path):
     )
     query.awaitTermination()
     assert spark.table("distinct_occurrences").count() == 3
+
+
+def test_command_line(spark, tmp_path):
+    from failsig.__main__ import main
+
+    runs, artifacts = tables(spark)
+    runs.write.json(str(tmp_path / "runs"))
+    artifacts.write.json(str(tmp_path / "artifacts"))
+    logs, tree = land_logs(tmp_path / "logs", zipped=True), write_tree(tmp_path / "tree")
+    at, kb = str(tmp_path), ["--kb", str(tmp_path / "kb")]
+    tables_of_runs = ["--runs", f"{at}/runs", "--artifacts", f"{at}/artifacts", "--logs", logs]
+    main([*kb, "ingest", *tables_of_runs, "--zip", "--event", "push", "--suite", "sys"])
+    main([*kb, "link", tree])
+    main([*kb, "analyze"])
+    main([*kb, "report", "--output", f"{at}/out", "--format", "json", "--checkout", tree])
+    assert spark.read.json(f"{at}/out/frequency").count() == 3
+    assert spark.read.json(f"{at}/out/stale_markers").count() == 5

@@ -15,10 +15,10 @@ def test_marker_scan(spark, tmp_path):
         (123456, "test/e2e/a/z_test.go", 2),
         (4444, "test/e2e/a/z_test.go", 3),
         (1234, "test/e2e/a-b/z_test.go", 1),
-        (24571, "test/e2e/checkpoint_test.go", 2),
-        (27759, "test/system/161-volume-quotas.bats", 2),
+        (31002, "test/e2e/snapshot_test.go", 2),
+        (31001, "test/system/171-quota.bats", 2),
     ]
-    assert rows[-1].text == 'skip "FIXME #27759: selinux"'
+    assert rows[-1].text == 'skip "FIXME #31001: selinux"'
 
 
 def test_marker_distance_and_case(spark):
@@ -33,21 +33,21 @@ def test_link_by_file_name(spark, tmp_path):
     markers = markers_of(spark, tmp_path)
     p = folded(
         spark,
-        {"test_name": "a", "test_file": "other/root/161-volume-quotas.bats:45"},
+        {"test_name": "a", "test_file": "other/root/171-quota.bats:45"},
         {"test_name": "b", "test_file": "test/e2e/build_test.go:116"},
         {"test_name": "c", "test_file": "z_test.go"},
     )
     core = links.link(p.core, links.pattern_issues(p.files, markers))
     assert {r.title: r.linked_issues for r in core.collect()} == {
-        "a": [27759],
+        "a": [31001],
         "b": [],
         "c": [1234, 4444, 123456],
     }
     # links found earlier stay
     again = links.link(core, links.pattern_issues(p.files, markers.filter("issue = 1234")))
-    assert {r.title: r.linked_issues for r in again.collect()}["a"] == [27759]
+    assert {r.title: r.linked_issues for r in again.collect()}["a"] == [31001]
     stale = links.stale_table(links.stale_markers(markers, core)).collect()
-    assert [tuple(r) for r in stale] == [(24571, "test/e2e/checkpoint_test.go", 2)]
+    assert [tuple(r) for r in stale] == [(31002, "test/e2e/snapshot_test.go", 2)]
 
 
 def test_stale_table_shows_a_file_once(spark):
@@ -96,5 +96,5 @@ def test_five_recent_runs(spark):
     rows = report.recent_run_rows(p.recent).orderBy("run_rank").collect()
     assert len(rows) == 5
     assert tuple(rows[0])[1:] == (
-        1, "sys-local-root-fedora-prior", "https://example.invalid/1", "push", "2026-08-15",
+        1, "sys-local-root-fedora-prior", "https://ci.invalid/1", "push", "2026-08-15",
     )

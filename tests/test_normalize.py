@@ -18,23 +18,23 @@ GOLDEN = {
 }
 
 CASES = [
-    ("at 08/15/26 20:38:15.857 it broke", "at <TIME> it broke"),
-    ("since 2026-08-14T12:19:41Z", "since <TIME>"),
-    ("since 2026-08-14 12:19:41.5", "since <TIME>"),
+    ("at 03/02/25 11:09:08.125 it broke", "at <TIME> it broke"),
+    ("since 2025-03-02T11:09:08Z", "since <TIME>"),
+    ("since 2025-03-02 11:09:08.5", "since <TIME>"),
     ("[12:19:41] boom", "<TIME> boom"),
-    ("took 10466ms, or 9.6 seconds", "took <DUR>, or <DUR>"),
+    ("took 5120ms, or 9.6 seconds", "took <DUR>, or <DUR>"),
     ("<+622ms> x <+5> y", "<+<DUR>> x <DUR> y"),
-    ("f(0xc0004c5600) +0x114", "f(<ADDR>) +<ADDR>"),
-    ("id " + "8cd354e7" * 8, "id <SHA256>"),
-    ("id 8cd354e7f35f", "id <ID>"),
-    ("/tmp/CI_plDj/podman_bats.clENUg/f", "/tmp/CI_<RAND>/podman_bats.<RAND>/f"),
+    ("f(0xc000aa1100) +0x2f", "f(<ADDR>) +<ADDR>"),
+    ("id " + "ab12cd34" * 8, "id <SHA256>"),
+    ("id ab12cd34ef56", "id <ID>"),
+    ("/tmp/CI_aBcD/podman_bats.xYz123/f", "/tmp/CI_<RAND>/podman_bats.<RAND>/f"),
     ("/var/tmp/some-org/podman/test/e2e/x.go", "test/e2e/x.go"),
     ("/home/me/x", "/<HOME>/x"),
-    ("c-ltfu-t93-uxvehj2c", "c-ltfu-t93-<RAND>"),
+    ("c-vol-t7-k3v9q2zz", "c-vol-t7-<RAND>"),
     ("podman-remote", "podman-<RAND>"),
-    ("bind 0.0.0.0:43185 in use", "bind <N>.<N>.<N>.<N>:<PORT> in use"),
+    ("bind 0.0.0.0:40123 in use", "bind <N>.<N>.<N>.<N>:<PORT> in use"),
     ("PID 12 and pid=7", "pid=<PID> and pid=<PID>"),
-    ("exit status 125, t93", "exit status <N>, t93"),
+    ("exit status 77, t93", "exit status <N>, t93"),
     ("  a \t\n b\u2003c\x1c ", "a b c"),
     ("", ""),
 ]
@@ -61,7 +61,7 @@ def test_agrees_with_python_regular_expressions(spark):
         "12", "0x1f", "é", "e\u0301", "٠١", "²", "Ⅷ", "_", "-", " ", "\xa0", "\x1d", "\x85",
         "\u2028", "\n", "ms", "s", "seconds", "pid=", "PİD ", "pıd=", ":", "4318", "/home/", "/tmp/CI_", "ab", "deadbeef",
         "abcdef012345", "<+", ">", "podman_bats.", "/var/tmp/", "/podman/", "[12:00:00]", "中", "\U0001d7dc", ".", "Z",
-        "2026-08-14T12:19:41", "08/15/26 20:38:15", "K", "xyz123-", "\u200d",
+        "2025-03-02T11:09:08", "08/15/26 20:38:15", "K", "xyz123-", "\u200d",
     ]
     texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(4000)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, a string")
@@ -111,8 +111,8 @@ def hashes(spark, *records):
 def test_one_flake_in_two_runs_has_one_hash(spark):
     a, b = hashes(
         spark,
-        ("podman logs", "`f journald' failed at 08/15/26 20:38:15.857 in 10466ms for c-t93-uxvehj2c"),
-        ("podman logs", "`f journald' failed at 08/16/26 03:02:11.004 in 9871ms for c-t93-pp42aakz"),
+        ("podman logs", "`f journald' failed at 03/02/25 11:09:08.125 in 5120ms for c-t7-k3v9q2zz"),
+        ("podman logs", "`f journald' failed at 03/04/25 06:15:59.5 in 977ms for c-t7-m8w4r1yy"),
     )
     assert a == b and len(a) == 16
 

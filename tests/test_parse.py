@@ -6,17 +6,17 @@ from failsig.operators.parse import parse_logs, repo_relative
 
 GINKGO = """<div>&larr; Exit [AfterEach]
 </div>
-<span class="t">[+0350s] </span><span>• [FAILED] <b>[10.082 seconds]</b></span>
+<span class="t">[+0350s] </span><span>• [FAILED] <b>[7.5 seconds]</b></span>
 <span class="t">         </span><h2>Suite one</h2>
-<span class="t">         </span>/var/tmp/org/podman/test/e2e/build_test.go:22
+<span class="t">         </span>/var/tmp/org/podman/test/e2e/store_test.go:22
 <span class="t">         </span><h2>  [It] builds with a secret</h2>
-<span class="t">         </span>  /var/tmp/org/podman/test/e2e/build_test.go:92
+<span class="t">         </span>  /var/tmp/org/podman/test/e2e/store_test.go:92
 <span title="--opt
 --other">[options]</span>
 <div class='log-error'>
-<span class="t">         </span>  [FAILED] exit status 125 &amp;
+<span class="t">         </span>  [FAILED] exit status 77 &amp;
 <span class="t">         </span>  more of the message
-<span class="t">         </span>  In [It] at: /var/tmp/org/podman/test/e2e/build_test.go:116 @ 08/15/26 20:38:15.857
+<span class="t">         </span>  In [It] at: /var/tmp/org/podman/test/e2e/store_test.go:116 @ 03/02/25 11:09:08.125
 * [FAILED] [1.0 seconds]
 Suite two
   /ci/test/e2e/run_test.go:5
@@ -27,9 +27,9 @@ Suite two
    goroutine 1
 """
 BATS = """<span> </span>ok 92 |035| passes in 9251ms
-<span> </span><a name='x'>not ok 93 |035| follows the journal in 10466ms</a>
+<span> </span><a name='x'>not ok 93 |035| follows the journal in 5120ms</a>
 <span> </span># tags: ci:parallel
-<span> </span>#  in test file test/system/<a href="x">035-logs.bats</a>, line 399)
+<span> </span>#  in test file test/system/<a href="x">044-journal.bats</a>, line 71)
 <span> </span>#   `wait_until journald&#39; failed with 3
 &lt;+622ms&gt; # not a diagnostic
 ok 94 |035| passes
@@ -94,8 +94,8 @@ def test_repo_relative(spark):
 def test_first_grammar(spark):
     one, two = parse(spark, (1, "int", GINKGO))
     assert (one.test_name, one.suite_name) == ("builds with a secret", "Suite one")
-    assert one.test_file == "test/e2e/build_test.go:116"
-    assert one.error_excerpt == "exit status 125 &\n           more of the message"
+    assert one.test_file == "test/e2e/store_test.go:116"
+    assert one.error_excerpt == "exit status 77 &\n           more of the message"
     assert (two.test_name, two.test_file) == ("panics", "test/e2e/run_test.go:7")
     assert two.error_excerpt == "panic: boom\ngoroutine 1"
 
@@ -103,7 +103,7 @@ def test_first_grammar(spark):
 def test_second_grammar(spark):
     one, two, three = parse(spark, (1, "sys", BATS))
     assert (one.test_name, one.suite_name) == ("follows the journal", "035")
-    assert one.test_file == "test/system/035-logs.bats:399"
+    assert one.test_file == "test/system/044-journal.bats:71"
     assert one.error_excerpt == "`wait_until journald' failed with 3"
     assert (two.test_name, two.test_file, two.error_excerpt) == ("no cause", "040", "one\ntwo")
     assert (three.test_name, three.suite_name, three.test_file) == ("plain name", "", "")
