@@ -28,7 +28,7 @@ RECENT_RUNS = 10
 
 KEY = ("signature_hash", "run_id", "dim_label")
 _OPTIONAL_TEXT = ("run_url", "run_event", "head_sha", "created_at")
-_PAYLOAD = (*_OPTIONAL_TEXT, *AXES, "test_name", "test_file")
+PAYLOAD = (*_OPTIONAL_TEXT, *AXES, "test_name", "test_file")
 
 
 @dataclass(frozen=True)
@@ -58,13 +58,14 @@ def complete(failures: DataFrame) -> DataFrame:
     return failures.withColumn("dim_label", dim_label())
 
 
-def occurrences(failures: DataFrame) -> DataFrame:
+def occurrences(failures: DataFrame, payload: tuple[str, ...] = PAYLOAD) -> DataFrame:
     """AGG-1: one row per (hash, run, label), the first record winning.
 
     ``min`` over a struct led by ``seq`` combines before the shuffle, so copies of one failure
-    shrink to one row per task.
+    shrink to one row per task. The struct hides unused columns from column pruning: name the
+    ``payload`` that is needed if it is not all of it.
     """
-    first = F.min(F.struct("seq", *_PAYLOAD)).alias("first")
+    first = F.min(F.struct("seq", *payload)).alias("first")
     return complete(failures).groupBy(*KEY).agg(first).select(*KEY, "first.*")
 
 

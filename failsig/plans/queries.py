@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dimensions import artifact_axes, dim_label
+from ..functions.dimensions import AXES, artifact_axes, dim_label
 from ..functions.html import decode_entities, strip_tags
 from ..functions.normalize import normalize, with_fingerprint
 from ..functions.replies import parse_reply
@@ -38,8 +38,8 @@ def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fingerprint(fold.complete(view(spark, sf_dir, "failures_v")))
 
 
-def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.occurrences(_failures(spark, sf_dir))
+def _occurrences(spark: SparkSession, sf_dir: str, *payload: str) -> DataFrame:
+    return fold.occurrences(_failures(spark, sf_dir), payload)
 
 
 def _stored_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,38 +179,42 @@ def signature_hash(spark, sf_dir):
 @query
 def occurrence_dedupe(spark, sf_dir):
     """AGG-1."""
-    return _occurrences(spark, sf_dir).select(*fold.KEY, "seq", "test_name", "created_at")
+    occ = _occurrences(spark, sf_dir, "test_name", "created_at")
+    return occ.select(*fold.KEY, "seq", "test_name", "created_at")
 
 
 @query
 def pattern_counts(spark, sf_dir):
     """AGG-2, AGG-3, AGG-8, SRT-3: the flagship. Occurrences per signature, ranked."""
-    counts = fold.pattern_counts(_occurrences(spark, sf_dir))
+    counts = fold.pattern_counts(_occurrences(spark, sf_dir, "test_name", "created_at"))
     return counts.orderBy(F.desc("count"), "title", "signature_hash").drop("seq")
 
 
 @query
 def pattern_tests(spark, sf_dir):
     """AGG-4."""
-    return fold.test_names(_occurrences(spark, sf_dir)).withColumnRenamed("seq", "first_seq")
+    names = fold.test_names(_occurrences(spark, sf_dir, "test_name"))
+    return names.withColumnRenamed("seq", "first_seq")
 
 
 @query
 def pattern_files(spark, sf_dir):
     """AGG-5."""
-    return fold.source_files(_occurrences(spark, sf_dir)).withColumnRenamed("seq", "first_seq")
+    files = fold.source_files(_occurrences(spark, sf_dir, "test_file"))
+    return files.withColumnRenamed("seq", "first_seq")
 
 
 @query
 def axis_counts(spark, sf_dir):
     """AGG-6."""
-    return fold.axis_counts(_occurrences(spark, sf_dir))
+    return fold.axis_counts(_occurrences(spark, sf_dir, *AXES))
 
 
 @query
 def recent_runs(spark, sf_dir):
     """AGG-7, PRJ-11."""
-    runs = fold.recent_runs(_occurrences(spark, sf_dir))
+    columns = ("run_url", "run_event", "head_sha", "created_at")
+    runs = fold.recent_runs(_occurrences(spark, sf_dir, *columns))
     return runs.select(
         "signature_hash", "run_id", "created_at", "dimensions", F.col("ord").alias("seq")
     )
@@ -276,7 +280,8 @@ def incremental_recent(spark, sf_dir):
 def pattern_lookup(spark, sf_dir):
     """SRC-7 as a join: failures with the state of the pattern they belong to."""
     failures = _stored_failures(spark, sf_dir)
-    counts = fold.pattern_counts(fold.occurrences(failures)).select("signature_hash", "count")
+    occ = fold.occurrences(failures, ("test_name", "created_at"))
+    counts = fold.pattern_counts(occ).select("signature_hash", "count")
     return salted_join(
         failures.select("seq", "signature_hash"), counts, "signature_hash", spread="seq"
     )
@@ -333,7 +338,7 @@ def marker_scan(spark, sf_dir):
 @query
 def link_issues(spark, sf_dir):
     """JN-1, SET-4."""
-    files = fold.source_files(_occurrences(spark, sf_dir))
+    files = fold.source_files(_occurrences(spark, sf_dir, "test_file"))
     return links.pattern_issues(files, _markers(spark, sf_dir))
 
 
@@ -465,7 +470,7 @@ def _all_failures(spark: SparkSession, sf_dir: str, **kwargs) -> DataFrame:
 @query
 def log_ingest(spark, sf_dir):
     """JN-4, PAR-1..7, SIG, AGG-1..3, AGG-8: from runs, artifacts and log HTML to patterns."""
-    occ = fold.occurrences(_all_failures(spark, sf_dir))
+    occ = fold.occurrences(_all_failures(spark, sf_dir), ("test_name", "created_at"))
     return fold.pattern_counts(occ).drop("seq")
 
 
@@ -473,7 +478,8 @@ def log_ingest(spark, sf_dir):
 def log_ingest_shuffled(spark, sf_dir):
     """JN-4 with the run table too large to broadcast: parse first, join the records."""
     failures = _all_failures(spark, sf_dir, broadcast_rows=0)
-    return fold.pattern_counts(fold.occurrences(failures)).drop("seq")
+    occ = fold.occurrences(failures, ("test_name", "created_at"))
+    return fold.pattern_counts(occ).drop("seq")
 
 
 @query
