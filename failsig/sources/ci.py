@@ -79,22 +79,26 @@ def read_html_logs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            with zipfile.ZipFile(io.BytesIO(row.content)) as archive:
-                for i, name in enumerate(archive.namelist()):
-                    if name.endswith(".html"):
-                        text = archive.read(name).decode("utf-8", errors="replace")
-                        yield pd.DataFrame(
-                            {
-                                "run_id": [row.run_id],
-                                "artifact_id": [row.artifact_id],
-                                "file_ord": [i],
-                                "filename": [name],
-                                "html": [text],
-                            }
-                        )
+def _unzipper():
+    # local, so that it ships by value and workers need not have this package installed
+    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                with zipfile.ZipFile(io.BytesIO(row.content)) as archive:
+                    for i, name in enumerate(archive.namelist()):
+                        if name.endswith(".html"):
+                            text = archive.read(name).decode("utf-8", errors="replace")
+                            yield pd.DataFrame(
+                                {
+                                    "run_id": [row.run_id],
+                                    "artifact_id": [row.artifact_id],
+                                    "file_ord": [i],
+                                    "filename": [name],
+                                    "html": [text],
+                                }
+                            )
+
+    return unzip
 
 
 def read_zip_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -104,5 +108,5 @@ def read_zip_logs(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     return _ids_from_path(files.select("run_id", "artifact_id", "content")).mapInPandas(
-        _unzip, schemas.LOGS
+        _unzipper(), schemas.LOGS
     )
