@@ -2,36 +2,66 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row number below
 
+_JOBS: dict[str, str] = {}  # this driver's own folder in each checkpoint folder
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own, as in tests.
+    Only a session within one machine's single process gets a folder of its own where the
+    setting is missing, as in tests.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     path = tempfile.mkdtemp(prefix="failsig-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back, so later stages see fixed rows."""
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written as Parquet below ``spark.checkpoint.dir`` and read back.
+
+    Later stages see fixed rows, read only the columns they need, and outlive lost executors. The
+    job's tables go when the driver ends, or earlier with ``release``.
+    """
     spark = df.sparkSession
-    path = checkpoint_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
+    base = checkpoint_dir(spark)
+    if base not in _JOBS:
+        _JOBS[base] = f"{base.rstrip('/')}/failsig-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, _JOBS[base])
+    path = f"{_JOBS[base]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``frozen`` that no later step reads."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path:
+            _delete(table.sparkSession, path)
 
 
 def with_position(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
@@ -41,7 +71,7 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
     between the two uses below. Only the row count of each partition meets in one task, so the
     broadcast side has as many rows as there are partitions.
     """
-    rows = checkpointed(
+    rows = frozen(
         df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_id", _LOCAL_BITS))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from ..functions.replies import parse_reply
 from ..functions.text import blank_if_null
 from ..operators import categorize, fold, index, links, report
 from ..operators.parse import parse_logs
-from ..operators.scale import checkpoint_dir, checkpointed, salted_join
+from ..operators.scale import checkpoint_dir, frozen, salted_join
 from ..sources.ci import failed_jobs, failed_runs, log_artifacts
 from ..sources.knowledge_base import KnowledgeBase
 from ..streaming.ingest import stream_failures
@@ -44,7 +44,7 @@ def _occurrences(spark: SparkSession, sf_dir: str, *payload: str) -> DataFrame:
 
 def _stored_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures computed once, as an ingest stores them: several tables are folded from them."""
-    return checkpointed(_failures(spark, sf_dir).drop("error_excerpt"))
+    return frozen(_failures(spark, sf_dir).drop("error_excerpt"))
 
 
 def _patterns(spark: SparkSession, sf_dir: str) -> fold.Patterns:
@@ -53,7 +53,7 @@ def _patterns(spark: SparkSession, sf_dir: str) -> fold.Patterns:
 
 
 def _categorized(patterns: fold.Patterns) -> fold.Patterns:
-    patterns = patterns.with_core(checkpointed(patterns.core))  # a stored table in a real job
+    patterns = patterns.with_core(frozen(patterns.core))  # a stored table in a real job
     replies = patterns.core.select("signature_hash", F.expr(PATTERN_REPLY).alias("content"))
     return patterns.with_core(
         categorize.apply_replies(patterns.core, categorize.usable_replies(replies))
