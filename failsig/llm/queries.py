@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
-from .common import table
+from . import decontam, gam, langid, license, mixing, rules, shards, simhash
+from .common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -18,6 +18,25 @@ def query(fn):
     return fn
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license.scan(table(spark, sf_dir, "documents"))
+    base = F.array_sort(F.array_distinct(F.col("places.label")))
+    every = F.array_sort(F.array_union(F.col("places.label"), F.col("found.label")))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.start").alias("first_word"),
+        F.array_max("places.start").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0)
+        .otherwise(F.coalesce(F.array_max("found.containment"), F.lit(0.0)))
+        .alias("score"),
+    )
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -33,3 +52,70 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target",
         (F.col("size") * F.col("copies")).alias("taken"),
     )
+
+
+@query
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gam.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(
+        "row.doc_id",
+        (fold_of(gam.FOLDS, "row.doc_id") == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= gam.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = langid.identified(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "row.doc_id",
+        (fold_of(langid.FOLDS, "row.doc_id") == 1).alias("held_out"),
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+        "found.rejected",
+    )
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.array_join("reasons", ",").alias("reasons"),
+    )
+
+
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.assigned(table(spark, sf_dir, "documents"), "doc_id")
+    return rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontam.covered("spans")
+    return rows.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontam.is_contaminated(n_hit, F.col("n_words")).alias("contaminated"),
+    )
