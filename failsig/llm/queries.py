@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, gam, langid, license, mixing, rules, shards, simhash
+from . import decontam, gam, langid, license, mixing, pii, rules, shards, simhash
 from .common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,26 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontam.is_contaminated(n_hit, F.col("n_words")).alias("contaminated"),
     )
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.personal_data(table(spark, sf_dir, "documents"))
+
+    def line(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    base = F.filter("spans", lambda s: s["kind"] != pii.CONTEXT)
+    return rows.select(
+        "doc_id",
+        *[
+            F.size(F.array_remove(F.transform("spans", lambda s: s["kind"] == F.lit(k)), False))
+            .cast("long")
+            .alias(f"n_{k}")
+            for k in pii.KINDS
+        ],
+        F.sha2(line(base), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"),
+    )

@@ -80,14 +80,10 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             F.array(*[F.struct(F.lit(s).alias("seg"), v.alias("half")) for s, v, _ in keys])
         ).alias("key"),
     )
-    probes = F.concat(
-        *[
-            F.transform(
-                ball(v, r), lambda h, s=s: F.struct(F.lit(s).alias("seg"), h.alias("half"))
-            )
-            for s, v, r in keys
-        ]
-    )
+    def tagged(seg: int, halves: Column) -> Column:
+        return F.transform(halves, lambda h: F.struct(F.lit(seg).alias("seg"), h.alias("half")))
+
+    probes = F.concat(*[tagged(s, ball(v, r)) for s, v, r in keys])
     probe = prints.select(F.col("fp").alias("a"), F.explode(probes).alias("key"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     return (
