@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, gam, langid, license, mixing, pii, rules, shards, simhash
+from . import decontam, gam, langid, license, mixing, pii, rules, shards, simhash, suffix
 from .common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(line(base), 256).alias("base_sha256"),
         line(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed(table(spark, sf_dir, "documents")).drop("kept")
