@@ -15,10 +15,13 @@ from .common import fold_of, packed, ship, text_of
 BUCKETS = 1 << 13
 WIDTH = 16  # of an embedding
 PER_LANG = 500  # training documents of each language, about; bounds what the driver holds
-EPOCHS = 6
+STEPS = 1000  # of gradient descent
+BATCH = 16
 FOLDS = 3  # documents of fold 1 are held out
 UNKNOWN = "und"
 
+_STEP = 1 << 18  # bytes of a text that are looked at together
+
 # bytes that are no part of a word become spaces; bytes from 128 are letters of other scripts
 _BLANK = bytes(
     c if c >= 128 or 97 <= c <= 122 else 97 + c - 65 if 65 <= c <= 90 else 32 for c in range(256)
@@ -33,9 +36,8 @@ def subwords(text: str) -> np.ndarray:
     raw = (" " + text.lower() + " ").encode("utf-8", "replace").translate(_BLANK)
     byte = np.frombuffer(raw, np.uint8)
     total = np.zeros(BUCKETS, np.int64)
-    step = 1 << 18
-    for at in range(0, len(byte), step):  # bounds what a very long text takes
-        part = byte[at : at + step + 3].astype(np.uint32)
+    for at in range(0, len(byte), _STEP):  # bounds what a very long text takes
+        part = byte[at : at + _STEP + 3].astype(np.uint32)
         inner = part != 32
         key = part[: max(len(part) - 1, 0)] * np.uint32(257) + part[1:]
         whole = inner[:-1] | inner[1:]
@@ -46,7 +48,7 @@ def subwords(text: str) -> np.ndarray:
                 whole = inner[1 : len(part) - n + 2].copy()
                 for k in range(2, n - 1):
                     whole &= inner[k : len(part) - n + 1 + k]
-            end = min(step, len(key)) if at + step < len(byte) else len(key)
+            end = min(_STEP, len(key)) if at + _STEP < len(byte) else len(key)
             mixed = (key[:end] ^ (key[:end] >> np.uint32(15))) * np.uint32(2246822519)
             mixed = (mixed >> np.uint32(19))[whole[:end]]  # 13 bits
             total += np.bincount(mixed, minlength=BUCKETS)
@@ -100,20 +102,22 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
     rows = rng.permutation(len(labels))
     check, learn = rows[::5], np.delete(rows, slice(None, None, 5))
     if n > 1 and len(learn):
-        for epoch in range(EPOCHS):
-            rate = 20.0 * (1 - epoch / EPOCHS)
-            for at in range(0, len(learn), 16):
-                batch = learn[at : at + 16]
-                x = dense(batch)
-                mean = x @ table
-                slope = _softmax(mean @ head + bias)
-                slope[np.arange(len(batch)), labels[batch]] -= 1
-                slope /= len(batch)
-                back = slope @ head.T
-                head -= rate * 0.05 * (mean.T @ slope)
-                bias -= rate * 0.01 * slope.sum(0)
-                table -= rate * (x.T @ back)
-            rng.shuffle(learn)
+        at = 0
+        for turn in range(STEPS):
+            if at == 0:
+                rng.shuffle(learn)
+            batch = learn[at : at + BATCH]
+            at = at + BATCH if at + BATCH < len(learn) else 0
+            rate = 1 - turn / STEPS
+            x = dense(batch)
+            mean = x @ table
+            slope = _softmax(mean @ head + bias)
+            slope[np.arange(len(batch)), labels[batch]] -= 1
+            slope /= len(batch)
+            back = slope @ head.T
+            head -= rate * (mean.T @ slope)
+            bias -= 0.2 * rate * slope.sum(0)
+            table -= 20 * rate * (x.T @ back)
     model = Model(langs, (table @ head).astype(np.float64), bias.astype(np.float64))
     if n > 1 and len(check):
         z = np.concatenate([dense(check[a : a + 64]) for a in range(0, len(check), 64)])
