@@ -7,10 +7,15 @@ import importlib
 
 from .operators.links import find_markers
 from .plans import jobs
-from .plans.failures import log_failures, run_artifacts, runs_covered
 from .session import session
 from .sources import schemas
-from .sources.ci import failed_runs, read_html_logs, read_json_table, read_zip_logs
+from .sources.ci import (
+    broken_lines,
+    failed_runs,
+    read_html_logs,
+    read_json_table,
+    read_zip_logs,
+)
 from .sources.knowledge_base import KnowledgeBase
 from .sources.tree import source_lines
 
@@ -24,11 +29,26 @@ def _function(name: str):
 def _ingest(spark, kb, args):
     runs = read_json_table(spark, args.runs, schemas.RUNS)
     artifacts = read_json_table(spark, args.artifacts, schemas.ARTIFACTS)
+    for path, schema in ((args.runs, schemas.RUNS), (args.artifacts, schemas.ARTIFACTS)):
+        broken = broken_lines(spark, path, schema)
+        broken.write.mode("append").parquet(f"{kb.root}/broken_lines")
+        print(f"{path}: {broken.count()} broken lines, kept in {kb.root}/broken_lines")
     read_logs = read_zip_logs if args.zip else read_html_logs
     failed = failed_runs(runs, args.limit, args.event, args.workflow)
-    wanted = run_artifacts(failed, artifacts, args.suite)
-    failures = log_failures(read_logs(spark, args.logs), wanted)
-    jobs.ingest(kb, failures, runs_covered(failed, artifacts)).show()
+    stats = jobs.ingest_logs(
+        kb,
+        lambda keys: read_logs(spark, args.logs, keys),
+        failed,
+        artifacts,
+        args.suite,
+        args.per_commit,
+    )
+    for failures, patterns, new in stats:
+        print(f"{failures} failures, {patterns} patterns, {new} of them new")
+
+
+def _limit(text: str) -> int | None:
+    return None if text == "all" else int(text)
 
 
 def _link(spark, kb, args):
@@ -56,7 +76,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--artifacts", required=True, help="JSON lines, one per artifact")
     p.add_argument("--logs", required=True, help="run_id=*/artifact_id=* folders")
     p.add_argument("--zip", action="store_true", help="logs are archives as downloaded")
-    p.add_argument("--limit", type=int, default=10, help="how many failed runs")
+    p.add_argument("--limit", type=_limit, default=10, help="how many failed runs, or all")
+    p.add_argument("--per-commit", type=int, default=500, help="artifacts between two commits")
     p.add_argument("--event", choices=["push", "pull_request"])
     p.add_argument("--workflow")
     p.add_argument("--suite")

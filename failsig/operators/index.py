@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,16 @@ def totals(core: DataFrame, runs_seen: DataFrame) -> DataFrame:
         F.count_if(F.col("count") > 1).alias("recurring"),
     )
     runs = runs_seen.agg(F.count_distinct("run_id").alias("runs_scanned"))
-    return patterns.crossJoin(runs)  # one row each
+    return _one_row(patterns, runs)
+
+
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of tables of one row each, in one row."""
+    names = [c for p in parts for c in p.columns]
+    rows = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), parts
+    )
+    return rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
 
 
 def index_document(core: DataFrame, runs_seen: DataFrame) -> DataFrame:
@@ -40,11 +51,8 @@ def index_document(core: DataFrame, runs_seen: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("category", "patterns")))
         ).alias("categories")
     )
-    return (
-        totals(core, runs_seen)
-        .drop("recurring")
-        .crossJoin(categories)
-        .withColumn("schema_version", F.lit(SCHEMA_VERSION))
+    return _one_row(totals(core, runs_seen).drop("recurring"), categories).withColumn(
+        "schema_version", F.lit(SCHEMA_VERSION)
     )
 
 

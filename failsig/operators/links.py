@@ -9,7 +9,7 @@ from ..functions.text import first_chars, java_regex, strip
 from .scale import salted_join
 
 # Fixed values. An issue number has 4 to 6 digits, so there are fewer than a million of them:
-# that bounds every per-pattern issue list and the broadcast in stale_markers.
+# that bounds every list of issues.
 MARKER = r"(skip\w*|FIXME)\b[^\n]{0,80}?#([0-9]{4,6})"
 MARKER_TEXT_CHARS = 200
 
@@ -36,14 +36,20 @@ def basename(path: Column) -> Column:
 def pattern_issues(files: DataFrame, markers: DataFrame) -> DataFrame:
     """JN-1: signature_hash and issue, distinct, where pattern and marker share a file name.
 
-    Both sides are reduced to distinct pairs first. Many patterns can sit in one file, so each
-    file name is split over several tasks.
+    Both sides are reduced first: patterns to distinct file names, markers to one list of issues
+    for each name, which the digits of an issue bound. So the join gives one row for each pattern
+    and name, however many markers a name has. Many patterns can sit in one file, so each file
+    name is split over several tasks.
     """
     by_pattern = files.select("signature_hash", basename(F.col("file")).alias("name")).distinct()
-    by_marker = markers.select(basename(F.col("file")).alias("name"), "issue").distinct()
+    by_name = markers.groupBy(basename(F.col("file")).alias("name")).agg(
+        F.collect_set("issue").alias("issues")
+    )
     return (
-        salted_join(by_pattern, by_marker, "name", spread="signature_hash")
-        .select("signature_hash", "issue")
+        salted_join(by_pattern, by_name, "name", spread="signature_hash")
+        .select("signature_hash", "issues")
+        .distinct()
+        .select("signature_hash", F.explode("issues").alias("issue"))
         .distinct()
     )
 
@@ -62,10 +68,26 @@ def link(core: DataFrame, issues: DataFrame) -> DataFrame:
 
 def stale_markers(markers: DataFrame, core: DataFrame) -> DataFrame:
     """JN-3: markers whose issue no pattern is linked to."""
-    live = core.select(F.explode("linked_issues").alias("issue")).distinct()
-    return markers.join(F.broadcast(live), "issue", "left_anti")
+    return unlinked(markers, core.select(F.explode("linked_issues").alias("issue")))
+
+
+def unlinked(markers: DataFrame, live: DataFrame) -> DataFrame:
+    """Markers whose issue is none of the ``live`` ones."""
+    return markers.join(live.select("issue").distinct(), "issue", "left_anti")
 
 
 def stale_table(stale: DataFrame) -> DataFrame:
-    """SRT-4: the first line of each issue and file. A file's lines are in scan order."""
-    return stale.groupBy("issue", "file").agg(F.min("line").alias("line"))
+    """SRT-4: the first line of each issue and file, and its ``place`` in scan order.
+
+    Rows are reported by issue, then place: folder, path part by part, line. Markers without
+    ``dir_ord`` count as being in one folder.
+    """
+    folder = F.col("dir_ord") if "dir_ord" in stale.columns else F.lit(0)
+    place = F.struct(
+        folder.cast("int").alias("dir_ord"), F.split("file", "/").alias("parts"), "line"
+    )
+    return (
+        stale.groupBy("issue", "file")
+        .agg(F.min("line").alias("line"), F.min(place).alias("place"))
+        .select("issue", "file", "line", "place")
+    )

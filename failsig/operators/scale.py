@@ -104,16 +104,14 @@ def salted_join(
     return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; stops counting beyond that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def spread(df: DataFrame, by: str) -> DataFrame:
-    """A scan over at least as many tasks as there are cores, by the hash of a key column.
+    """A scan of less than one split, dealt over all cores by the hash of a key column.
 
-    One small file is one task, however many regular expressions follow. An input with enough
-    splits is left alone.
+    One small file is one task, however many regular expressions follow. Only an input that is
+    smaller than a single split by its file sizes is moved, so a shuffle of at most that many
+    bytes is all this can cost; anything larger is read as it lies.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism, by) if size < split else df

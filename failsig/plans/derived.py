@@ -97,7 +97,8 @@ VIEWS: dict[str, View] = {
             " ELSE 'remote' END",
             "priv": "CASE WHEN user_id % 2 = 0 THEN 'root' ELSE 'rootless' END",
             "distro": "CASE WHEN user_id % 5 < 3 THEN 'fedora-prior' ELSE 'debian-sid' END",
-            "test_name": "'podman ' || CASE WHEN user_id % 4 = 0 THEN 'volume'"
+            "test_name": "CASE WHEN user_id % 50 = 9 THEN 'a | b ' || repeat('long name ', 13) ELSE '' END"
+            " || 'podman ' || CASE WHEN user_id % 4 = 0 THEN 'volume'"
             " WHEN user_id % 4 = 1 THEN 'network' WHEN user_id % 4 = 2 THEN 'image'"
             " ELSE 'pod' END || ' ' || event_type || ' case ' || cast(user_id % 6 AS string)",
             "test_file": "'/var/tmp/ci/podman/test/system/' || cast(100 + user_id % 20 AS string)"
@@ -108,7 +109,26 @@ VIEWS: dict[str, View] = {
             " || ' for c-ltfu-' || substr(md5(cast(event_id AS string)), 1, 8)"
             " || ' id ' || md5(cast(user_id AS string))"
             " || CASE WHEN event_id % 500 = 7 THEN ' code x' || cast(event_id AS string)"
+            " ELSE '' END"
+            # one kind of run-to-run text for each rule that the rest does not set off
+            " || CASE event_id % 40"
+            " WHEN 1 THEN ' 03/21/25 07:08:09.1 done'"
+            " WHEN 2 THEN ' [07:08:09] done'"
+            " WHEN 3 THEN ' <+ 12.5ms> done'"
+            " WHEN 4 THEN ' at 0x' || substr(md5(cast(event_id AS string)), 1, 10)"
+            " WHEN 5 THEN ' sum ' || sha256(cast(event_id AS string))"
+            " WHEN 6 THEN ' in /tmp/CI_' || substr(md5(cast(event_id AS string)), 1, 4)"
+            " WHEN 7 THEN ' dir podman_bats.' || substr(md5(cast(event_id AS string)), 1, 6)"
+            " WHEN 8 THEN ' see /var/tmp/job.' || cast(event_id % 7 AS string) || '/podman/x'"
+            " WHEN 9 THEN ' under /home/u' || cast(user_id AS string) || '/x'"
+            " WHEN 10 THEN ' PID=' || cast(event_id AS string) || ' ended'"
+            " WHEN 11 THEN ' two' || chr(9) || ' blanks  '"
+            " WHEN 12 THEN ' ' || repeat('very long cause ', 140)"
             " ELSE '' END",
+            "run_url": "'https://ci.example.org/runs/' || cast(cast(floor(event_id / 25) AS bigint)"
+            " AS string)",
+            "run_event": "CASE WHEN floor(event_id / 25) % 2 = 0 THEN 'push' ELSE 'pull_request' END",
+            "head_sha": "md5(cast(cast(floor(event_id / 25) AS bigint) AS string))",
         },
     ),
     "lines_v": View(
@@ -124,7 +144,6 @@ VIEWS: dict[str, View] = {
     "blocks_v": View(
         "failures_v",
         {"run_id": "run_id", "seq": "seq", "line": _GINKGO_BLOCK},
-        "seq % 4 = 0",
     ),
     "markers_v": View(
         "part",

@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.dimensions import artifact_axes, dim_label
 from ..functions.normalize import with_fingerprint
 from ..operators.parse import BATS, GINKGO, parse_logs
-from ..operators.scale import at_most, salted_join
+from ..operators.scale import salted_join
 from ..sources.ci import log_artifacts
 
-# A row of run and artifact columns takes a few hundred bytes: below this many rows the table
-# goes to every executor, above it the parsed failures are shuffled to it instead.
-BROADCAST_ROWS = 200_000
-
-_LOG_KEY = ["run_id", "artifact_id"]
+LOG_KEY = ["run_id", "artifact_id"]
 
 
 def run_artifacts(runs: DataFrame, artifacts: DataFrame, suite: str | None = None) -> DataFrame:
@@ -58,7 +54,7 @@ def _seq():
 
 
 def parse_without_suite(logs: DataFrame, keep_clean: bool = False) -> DataFrame:
-    """Records of both grammars, for logs whose suite is not known yet."""
+    """Records of both grammars, for logs whose suite is met later."""
     return parse_logs(logs.withColumn("suite", F.lit("")), keep_clean=keep_clean).drop("suite")
 
 
@@ -70,20 +66,13 @@ def _fitting(records: DataFrame) -> DataFrame:
     return records.filter(~unfit)
 
 
-def log_failures(
-    logs: DataFrame,
-    artifacts_of_runs: DataFrame,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def log_failures(logs: DataFrame, artifacts_of_runs: DataFrame) -> DataFrame:
     """Fingerprinted failures of ``logs``; log text is never shuffled.
 
-    ``artifacts_of_runs`` is :func:`run_artifacts`. If its counted size allows, it is broadcast
-    and logs of other runs drop out before they are parsed. Otherwise all logs are parsed with
-    both grammars and the small failure records go to the join.
+    ``artifacts_of_runs`` is :func:`run_artifacts`. Texts are parsed where they are read, and the
+    small records meet the artifacts, whatever the size of either. What isn't wanted should not
+    be read in the first place: give the readers of ``sources.ci`` the keys.
     """
-    if at_most(artifacts_of_runs, broadcast_rows):
-        records = parse_logs(logs.join(F.broadcast(artifacts_of_runs), _LOG_KEY))
-        return _fingerprinted(records)
     return record_failures(parse_without_suite(logs), artifacts_of_runs)
 
 
@@ -93,7 +82,7 @@ def record_failures(records: DataFrame, artifacts_of_runs: DataFrame) -> DataFra
     records = records.filter(F.col("parser_ord").isNotNull())  # clean logs
     place = F.struct("filename", "parser_ord", "pos")
     joined = salted_join(
-        records.withColumn("_spread", place), artifacts_of_runs, _LOG_KEY, "_spread", salts=8
+        records.withColumn("_spread", place), artifacts_of_runs, LOG_KEY, "_spread", salts=8
     )
     return _fingerprinted(_fitting(joined))
 

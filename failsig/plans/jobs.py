@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import categorize, fold, index, links, report
+from ..operators.scale import frozen, release, with_position
 from ..sources.documents import ledger_of, patterns_of, write_documents
 from ..sources.knowledge_base import KnowledgeBase
-from ..sources.schemas import PATTERN_TABLES
+from ..sources.schemas import FAILURES, PATTERN_TABLES
+from .failures import parse_without_suite, record_failures, run_artifacts, runs_covered
 
 
 def ingest(
@@ -19,6 +21,8 @@ def ingest(
     runs: DataFrame | None = None,
     source: str = "",
     batch_id: int = -1,
+    skipped: DataFrame | None = None,
+    pending: DataFrame | None = None,
 ) -> DataFrame | None:
     """Fold fingerprinted failures into the knowledge base; AGG-13 as the result.
 
@@ -26,6 +30,8 @@ def ingest(
     failures. Failures and new
     occurrences are stored before they are used again, so logs are parsed once and every table
     is folded from columns on disk. A stream batch that is in already changes nothing.
+    ``skipped`` are logs that could not be read. ``pending`` are records that wait for their
+    artifact, in place of those that waited before.
     """
     if batch_id >= 0 and kb.has_batch(source, batch_id):
         return None
@@ -43,13 +49,63 @@ def ingest(
     )
     covered = stored if runs is None else runs
     kb.write("runs_seen", version, covered.select("run_id").distinct())
+    if skipped is not None:
+        kb.write("skipped", version, skipped)
+    names = list(PATTERN_TABLES)
+    if pending is not None:
+        kb.write_pending(version, pending)
+        names.append("pending")
     merged = fold.merge(known, fold.fold(occ, fold.signatures(stored), batch=version))
     for name, table in merged.tables().items():
         kb.write(name, version, table)
-    kb.commit(version, list(PATTERN_TABLES), True, source, batch_id)
+    kb.commit(version, names, True, source, batch_id)
     return index.ingest_stats(stored, known.core)
 
 
+def ingest_logs(
+    kb: KnowledgeBase,
+    read_logs: Callable[[list[tuple[int, int]]], DataFrame],
+    runs: DataFrame,
+    artifacts: DataFrame,
+    suite: str | None = None,
+    per_commit: int = 500,
+) -> list[tuple]:
+    """Ingest the logs of ``runs``, newest run first, ``per_commit`` artifacts at a time.
+
+    Each slice is one commit, so a job that is cut off keeps what it has done. ``read_logs`` gets
+    the slice's (run, artifact) pairs, at most ``per_commit`` of them, and should read no other
+    files, as the readers of ``sources.ci`` do; rows with an ``error`` are recorded as skipped.
+    Gives AGG-13 of each slice. The last commit adds the runs without wanted logs.
+    """
+    newest = F.unix_seconds(F.try_to_timestamp("created_at")).desc_nulls_last()
+    wanted = with_position(
+        run_artifacts(runs, artifacts, suite), newest, F.desc("run_id"), F.col("artifact_id")
+    )
+    covered = frozen(runs_covered(runs, artifacts))
+    slices = -(-wanted.count() // per_commit)
+    stats = []
+    for k in range(slices):
+        at = F.col("position")
+        part = wanted.filter((at >= k * per_commit) & (at < (k + 1) * per_commit)).drop("position")
+        keys = [tuple(r) for r in part.select("run_id", "artifact_id").collect()]
+        logs = read_logs(keys)
+        if "error" not in logs.columns:
+            logs = logs.withColumn("error", F.lit(None).cast("string"))
+        records = frozen(parse_without_suite(logs, keep_clean=True))
+        bad = records.filter("error IS NOT NULL").select(
+            "run_id", "artifact_id", "filename", "error"
+        )
+        failures = record_failures(records.filter("error IS NULL").drop("error"), part)
+        found = ingest(kb, failures, part.select("run_id").distinct(), skipped=bad)
+        stats.append(tuple(found.first()))
+        release(records)
+    rest = covered.join(kb.runs_seen(), "run_id", "left_anti")
+    if not slices or not rest.isEmpty():
+        nothing = kb.spark.createDataFrame([], FAILURES)
+        ingest(kb, nothing, covered)
+    return stats
+
+
 def link(kb: KnowledgeBase, markers: DataFrame) -> None:
     """JN-1, JN-2: write the issues of skip markers to the patterns in the same files."""
     patterns = kb.patterns()
@@ -93,7 +149,7 @@ def report_tables(kb: KnowledgeBase, markers: DataFrame | None = None) -> dict[s
     }
     if markers is not None:
         stale = links.stale_markers(markers, patterns.core)
-        tables["stale_markers"] = links.stale_table(stale).orderBy("issue", "file")
+        tables["stale_markers"] = links.stale_table(stale).orderBy("issue", "place").drop("place")
     return tables
 
 

@@ -324,7 +324,8 @@ ORACLE: dict[str, str] = {
     "axis_counts": _sql([*_OCC, _AXIS_ROWS], "SELECT * FROM ax"),
     "recent_runs": _sql(
         _OCC,
-        "SELECT signature_hash, run_id, created_at, dim_label AS dimensions, seq FROM occ "
+        "SELECT signature_hash, run_id, created_at, dim_label AS dimensions, run_url AS url,"
+        " run_event AS event, substr(head_sha, 1, 12) AS sha, seq FROM occ "
         + _RECENT.format("seq DESC", 10),
     ),
     "pattern_documents": _sql(
@@ -391,7 +392,8 @@ ORACLE: dict[str, str] = {
     ),
     "stale_markers": _sql(_LINKS, "SELECT issue, file, line, text FROM stale"),
     "stale_table": _sql(
-        _LINKS, "SELECT issue, file, min(line) AS line FROM stale GROUP BY issue, file"
+        _LINKS,
+        "SELECT issue, file, min(line) AS line, file AS place FROM stale GROUP BY issue, file",
     ),
     "report_frequency": _sql(
         [*_CATEGORIZED, *_SUMMARY],
@@ -422,7 +424,7 @@ ORACLE: dict[str, str] = {
         _OCC,
         "SELECT signature_hash, cast(row_number() OVER (PARTITION BY signature_hash"
         " ORDER BY seq DESC) AS INT) AS run_rank, dim_label AS dimensions,"
-        " substr(created_at, 1, 10) AS date FROM occ " + _RECENT.format("seq DESC", 5),
+        " run_url AS url, run_event AS event, substr(created_at, 1, 10) AS date FROM occ " + _RECENT.format("seq DESC", 5),
     ),
     "recurring_patterns": _sql(_P, "SELECT signature_hash, count FROM p WHERE count > 1"),
     "category_breakdown": _sql(

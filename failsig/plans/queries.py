@@ -216,7 +216,14 @@ def recent_runs(spark, sf_dir):
     columns = ("run_url", "run_event", "head_sha", "created_at")
     runs = fold.recent_runs(_occurrences(spark, sf_dir, *columns))
     return runs.select(
-        "signature_hash", "run_id", "created_at", "dimensions", F.col("ord").alias("seq")
+        "signature_hash",
+        "run_id",
+        "created_at",
+        "dimensions",
+        "url",
+        "event",
+        "sha",
+        F.col("ord").alias("seq"),
     )
 
 
@@ -352,7 +359,8 @@ def linked_patterns(spark, sf_dir):
 
 def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     markers = _markers(spark, sf_dir)
-    return links.stale_markers(markers, _linked(_patterns(spark, sf_dir), markers).core)
+    files = fold.source_files(_occurrences(spark, sf_dir, "test_file"))
+    return links.unlinked(markers, links.pattern_issues(files, markers))
 
 
 @query
@@ -364,7 +372,8 @@ def stale_markers(spark, sf_dir):
 @query
 def stale_table(spark, sf_dir):
     """RPT-7, SRT-4."""
-    return links.stale_table(_stale(spark, sf_dir))
+    rows = links.stale_table(_stale(spark, sf_dir))
+    return rows.select("issue", "file", "line", F.array_join("place.parts", "/").alias("place"))
 
 
 # -- report -----------------------------------------------------------------------------
@@ -386,7 +395,7 @@ def report_details(spark, sf_dir):
 @query
 def report_recent_runs(spark, sf_dir):
     """RPT-4, SRT-6."""
-    return report.recent_run_rows(_patterns(spark, sf_dir).recent).drop("url", "event")
+    return report.recent_run_rows(_patterns(spark, sf_dir).recent)
 
 
 @query
@@ -443,7 +452,7 @@ def categorize_patterns(spark, sf_dir):
 # -- whole jobs -------------------------------------------------------------------------
 
 
-def _all_failures(spark: SparkSession, sf_dir: str, **kwargs) -> DataFrame:
+def _all_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures of the failed runs' logs; the first log artifact of a run carries its log."""
     artifacts = (
         log_artifacts(view(spark, sf_dir, "artifacts_v"))
@@ -464,7 +473,7 @@ def _all_failures(spark: SparkSession, sf_dir: str, **kwargs) -> DataFrame:
         )
     )
     runs = failed_runs(view(spark, sf_dir, "runs_v"), limit=None)
-    return log_failures(logs, run_artifacts(runs, artifacts), **kwargs)
+    return log_failures(logs, run_artifacts(runs, artifacts))
 
 
 @query
@@ -476,8 +485,8 @@ def log_ingest(spark, sf_dir):
 
 @query
 def log_ingest_shuffled(spark, sf_dir):
-    """JN-4 with the run table too large to broadcast: parse first, join the records."""
-    failures = _all_failures(spark, sf_dir, broadcast_rows=0)
+    """JN-4 from records that are stored first, as a cut-off job finds them."""
+    failures = frozen(_all_failures(spark, sf_dir))
     occ = fold.occurrences(failures, ("test_name", "created_at"))
     return fold.pattern_counts(occ).drop("seq")
 
@@ -496,12 +505,17 @@ def _scratch(spark: SparkSession) -> str:
 @query
 def stream_ingest(spark, sf_dir):
     """STR-1..3, SRC-6..8, SNK-1, JN-5, JN-6: the events as a stream into a knowledge base."""
-    path = f"{sf_dir}/events.parquet*"
-    landed = spark.read.parquet(path)
-    events = spark.readStream.schema(landed.schema).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if landed.rdd.getNumPartitions() < cores:  # as spread() does for a table
-        events = events.repartition(cores, "event_id")
+    root = _scratch(spark)
+    landed = table(spark, sf_dir, "events")
+    # three landings, the second of which brings part of the first again
+    third = F.pmod(F.xxhash64(F.floor(F.col("event_id") / 25)), F.lit(6))  # whole runs
+    for part in (third < 3, third.between(2, 3), third > 3):
+        landed.filter(part).coalesce(4).write.mode("append").parquet(f"{root}/landed")
+    events = (
+        spark.readStream.schema(landed.schema)
+        .option("maxFilesPerTrigger", 4)
+        .parquet(f"{root}/landed")
+    )
     failures = with_fingerprint(fold.complete(apply_view(events, "failures_v")))
     place = F.struct(
         *[F.lit(0).cast("bigint").alias(c) for c in ("run_ord", "run_tie")],
@@ -515,7 +529,6 @@ def stream_ingest(spark, sf_dir):
         .withColumn("artifact_id", F.lit(0).cast("bigint"))
         .withColumn("suite_name", F.lit(""))
     )
-    root = _scratch(spark)
     kb = KnowledgeBase(spark, f"{root}/kb")
     stream_failures(failures, kb, f"{root}/stream", "events").awaitTermination()
     return kb.patterns().core.select("signature_hash", "count", "first_seen", "last_seen", "title")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,30 @@ from . import schemas
 
 _FAILURE = "failure"
 
+Keys = Iterable[tuple[int, int]]  # of artifacts: run and artifact
+
 
 def read_json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An exported table in JSON lines; broken lines are left out."""
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+    """An exported table in JSON lines. Broken lines are in :func:`broken_lines`."""
+    return _json_lines(spark, path, schema).filter("_row._broken IS NULL").select("_row.*").drop(
+        "_broken"
+    )
+
+
+def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file and line of what :func:`read_json_table` can't read."""
+    return _json_lines(spark, path, schema).filter("_row._broken IS NOT NULL").select(
+        "file", "line"
+    )
+
+
+def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")
+    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    row = F.from_json("line", f"{schema}, _broken string", options)
+    return lines.filter(F.trim("line") != "").withColumn("_row", row)
 
 
 def failed_runs(
@@ -62,12 +83,22 @@ def _ids_from_path(files: DataFrame) -> DataFrame:
     )
 
 
-def read_html_logs(spark: SparkSession, path: str) -> DataFrame:
+def _only(files: DataFrame, wanted: Keys | None) -> DataFrame:
+    """The folders of the wanted artifacts. A filter on partition columns alone: files of other
+    folders are not opened."""
+    if wanted is None:
+        return files
+    runs, artifacts = {r for r, _ in wanted}, {a for _, a in wanted}
+    return files.filter(F.col("run_id").isin(runs) & F.col("artifact_id").isin(artifacts))
+
+
+def read_html_logs(spark: SparkSession, path: str, wanted: Keys | None = None) -> DataFrame:
     """SRC-3 for unpacked logs: ``path/run_id=1/artifact_id=2/*.html``.
 
-    The ids are partition columns, so a join with the wanted runs prunes folders.
+    ``wanted`` names the (run, artifact) pairs to read, by default all; others may still come
+    where both of their ids are wanted, which the join with the artifacts drops.
     """
-    files = spark.read.option("pathGlobFilter", "*.html").text(path, wholetext=True)
+    files = _only(spark.read.option("pathGlobFilter", "*.html").text(path, wholetext=True), wanted)
     return _ids_from_path(
         files.select(
             "run_id",
@@ -82,31 +113,41 @@ def read_html_logs(spark: SparkSession, path: str) -> DataFrame:
 def _unzipper():
     # local, so that it ships by value and workers need not have this package installed
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def log(row, i: int, name: str, text: str | None, error: str | None) -> pd.DataFrame:
+            return pd.DataFrame(
+                {
+                    "run_id": [row.run_id],
+                    "artifact_id": [row.artifact_id],
+                    "file_ord": [i],
+                    "filename": [name],
+                    "html": pd.Series([text], dtype=object),
+                    "error": pd.Series([error], dtype=object),
+                }
+            )
+
         for batch in batches:
             for row in batch.itertuples(index=False):
-                with zipfile.ZipFile(io.BytesIO(row.content)) as archive:
-                    for i, name in enumerate(archive.namelist()):
-                        if name.endswith(".html"):
-                            text = archive.read(name).decode("utf-8", errors="replace")
-                            yield pd.DataFrame(
-                                {
-                                    "run_id": [row.run_id],
-                                    "artifact_id": [row.artifact_id],
-                                    "file_ord": [i],
-                                    "filename": [name],
-                                    "html": [text],
-                                }
-                            )
+                name, i = "", -1
+                try:
+                    with zipfile.ZipFile(io.BytesIO(row.content)) as archive:
+                        for i, name in enumerate(archive.namelist()):
+                            if name.endswith(".html"):
+                                text = archive.read(name).decode("utf-8", errors="replace")
+                                yield log(row, i, name, text, None)
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as e:
+                    # what an archive that is cut, damaged, encrypted or too new raises
+                    yield log(row, i, name, None, f"{type(e).__name__}: {e}")
 
     return unzip
 
 
-def read_zip_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_zip_logs(spark: SparkSession, path: str, wanted: Keys | None = None) -> DataFrame:
     """SRC-3, UDF-2 for archives as downloaded: ``path/run_id=1/artifact_id=2/*.zip``.
 
-    Members leave the worker one at a time.
+    Members leave the worker one at a time. An archive that can't be read gives a row with its
+    ``error`` and no text, after the members before the damage. ``wanted`` as for
+    :func:`read_html_logs`; archives of other artifacts are neither read nor unzipped.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return _ids_from_path(files.select("run_id", "artifact_id", "content")).mapInPandas(
-        _unzipper(), schemas.LOGS
-    )
+    found = _ids_from_path(_only(files, wanted).select("run_id", "artifact_id", "content"))
+    return found.mapInPandas(_unzipper(), f"{schemas.LOGS}, error string")

@@ -9,7 +9,6 @@ from ..functions.dimensions import AXES
 from ..operators.fold import Patterns
 from . import schemas
 
-_REQUIRED = ("signature", "signature_hash", "title")
 _TEXTS = ("first_seen", "last_seen", "category", "confidence", "analysis", "mitigation")
 
 
@@ -17,12 +16,15 @@ def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataF
     """Documents of ``path``: a JSON file each, or JSON ``lines``.
 
     Unknown keys are dropped and absent ones defaulted; a broken document or one without its
-    required keys is left out.
+    required keys is left out. Rows with a ``part`` above 0 go on with the lists of the document
+    of the same hash and need no more than that.
     """
     docs = spark.read.schema(schemas.DOCUMENTS).json(
         path, multiLine=not lines, mode="DROPMALFORMED", pathGlobFilter="*.json"
     )
-    docs = docs.dropna(subset=list(_REQUIRED))
+    docs = docs.withColumn("part", F.coalesce("part", F.lit(0)))
+    whole = F.col("signature").isNotNull() & F.col("title").isNotNull()
+    docs = docs.filter(F.col("signature_hash").isNotNull() & (whole | (F.col("part") > 0)))
     for name in _TEXTS:
         docs = docs.withColumn(name, F.coalesce(name, F.lit("")))
     return docs.withColumn("count", F.coalesce("count", F.lit(0)))
@@ -33,13 +35,15 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.orderBy("signature_hash", "part").write.json(path)
 
 
-def _ord(pos: Column) -> Column:
-    """Place ``pos`` in batch 0, before everything that is ingested later."""
+def _ord(pos: Column, part: Column | None = None) -> Column:
+    """Place ``pos`` of ``part`` in batch 0, before everything that is ingested later."""
+    part = F.lit(0) if part is None else part
     return (
         F.struct(
             F.lit(0).cast("bigint").alias("batch"),
             F.struct(
-                *[F.lit(0).cast("bigint").alias(n) for n in ("run_ord", "run_tie", "artifact_ord")],
+                part.cast("bigint").alias("run_ord"),
+                *[F.lit(0).cast("bigint").alias(n) for n in ("run_tie", "artifact_ord")],
                 F.lit(0).alias("file_ord"),
                 F.lit("").alias("filename"),
                 F.lit(0).alias("parser_ord"),
@@ -55,8 +59,8 @@ def patterns_of(docs: DataFrame) -> Patterns:
     """The tables behind documents; lists keep their order."""
 
     def items(column: str, name: str) -> DataFrame:
-        rows = docs.select("signature_hash", F.posexplode(column).alias("_pos", name))
-        return rows.select("signature_hash", name, _ord(F.col("_pos")))
+        rows = docs.select("signature_hash", "part", F.posexplode(column).alias("_pos", name))
+        return rows.select("signature_hash", name, _ord(F.col("_pos"), F.col("part")))
 
     axes = docs.select("signature_hash", F.explode("dimensions").alias("axis", "_values")).select(
         "signature_hash", "axis", F.explode("_values").alias("value", "n")
@@ -65,7 +69,7 @@ def patterns_of(docs: DataFrame) -> Patterns:
         "signature_hash", F.size("recent_runs").alias("_n"), F.posexplode("recent_runs")
     )
     return Patterns(
-        core=docs.select(
+        core=docs.filter("part = 0").select(
             "signature_hash",
             "count",
             "first_seen",

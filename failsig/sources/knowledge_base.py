@@ -19,6 +19,7 @@ _GROWING = {
     "failures": schemas.FAILURES,
     "occurrences": schemas.OCCURRENCES,
     "runs_seen": schemas.RUNS_SEEN,
+    "skipped": schemas.SKIPPED,
 }
 _SORT = "signature_hash"
 
@@ -83,6 +84,12 @@ class KnowledgeBase:
         """SRC-8."""
         return self.grown("runs_seen").distinct()
 
+    def pending(self, schema: str) -> DataFrame:
+        """Parsed records of a stream whose run or artifact has not landed yet."""
+        last = self._last_commit()
+        version = 0 if last is None else last["tables"].get("pending", 0)
+        return self._read(f"pending/version={version}", schema)
+
     # -- writing ------------------------------------------------------------------------
 
     def write(self, table: str, version: int, df: DataFrame) -> DataFrame:
@@ -95,6 +102,9 @@ class KnowledgeBase:
         out.write.mode("overwrite").parquet(f"{self.root}/{table}/version={version}")
         return self.read_version(table, version)
 
+    def write_pending(self, version: int, records: DataFrame) -> None:
+        records.write.mode("overwrite").parquet(f"{self.root}/pending/version={version}")
+
     def commit(
         self,
         version: int,

@@ -50,17 +50,18 @@ PATTERN_TABLES = {
     "recent": RECENT,
 }
 RUNS_SEEN = "run_id bigint"
+SKIPPED = "run_id bigint, artifact_id bigint, filename string, error string"
 COMMITS = (
     "version bigint, source string, batch_id bigint, appended boolean,"
     " tables map<string,bigint>"
 )
 
-# One JSON document per pattern.
+# One JSON document per pattern, or several where its lists are long.
 DOCUMENTS = (
     "signature string, signature_hash string, title string, schema_version string,"
     " count bigint, first_seen string, last_seen string, tests array<string>,"
     " test_files array<string>, dimensions map<string,map<string,bigint>>,"
     " recent_runs array<struct<run_id:bigint,url:string,event:string,sha:string,"
     "created_at:string,dimensions:string>>, category string, confidence string,"
-    " analysis string, mitigation string, linked_issues array<int>"
+    " analysis string, mitigation string, linked_issues array<int>, part int"
 )

@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 from helpers import failures, write_tree
+from pyspark.sql import functions as F
 from test_parse import BATS, CLEAN, GINKGO
 
 from failsig.operators.links import find_markers
@@ -11,6 +12,7 @@ from failsig.plans import jobs
 from failsig.plans.failures import log_failures, run_artifacts, runs_covered
 from failsig.sources import schemas
 from failsig.sources.ci import (
+    broken_lines,
     failed_jobs,
     failed_runs,
     log_artifacts,
@@ -92,6 +94,8 @@ def test_run_and_artifact_scans(spark, tmp_path):
     (tmp_path / "runs.json").write_text("\n".join(lines))
     rows = read_json_table(spark, str(tmp_path / "runs.json"), schemas.RUNS).collect()
     assert [r.run_id for r in rows] == [1]
+    broken = broken_lines(spark, str(tmp_path / "runs.json"), schemas.RUNS).collect()
+    assert [r.line for r in broken] == ["{broken"]
     runs, artifacts = tables(spark)
     assert [r.run_id for r in failed_runs(runs, limit=2).collect()] == [2, 1]
     assert [r.run_id for r in failed_runs(runs, event="push", workflow="ci.yml").collect()] == [1]
@@ -113,12 +117,11 @@ def test_log_scan(spark, tmp_path, zipped):
     assert {r.file_ord for r in rows} == ({1, 2} if zipped else {0})
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_failures_of_logs(spark, tmp_path, broadcast_rows):
+def test_failures_of_logs(spark, tmp_path):
     runs, artifacts = tables(spark)
     logs = read_html_logs(spark, land_logs(tmp_path))
     wanted = run_artifacts(failed_runs(runs, limit=None), artifacts)
-    rows = log_failures(logs, wanted, broadcast_rows).orderBy("seq").collect()
+    rows = log_failures(logs, wanted).orderBy("seq").collect()
     # newest run first, then artifact, grammar and place; expired and passed ones are out
     assert [(r.run_id, r.artifact_id, r.test_name) for r in rows] == [
         *[(2, 21, t) for t in ("follows the journal", "no cause", "plain name")],
@@ -127,7 +130,7 @@ def test_failures_of_logs(spark, tmp_path, broadcast_rows):
     ]
     assert rows[0].dim_label == "sys-remote-rootless-debian-sid" and rows[0].run_url == "u2"
     only = run_artifacts(failed_runs(runs, limit=None), artifacts, suite="int")
-    assert {r.suite for r in log_failures(logs, only, broadcast_rows).collect()} == {"int"}
+    assert {r.suite for r in log_failures(logs, only).collect()} == {"int"}
 
 
 def test_jobs_end_to_end(spark, tmp_path):
@@ -256,8 +259,9 @@ def test_stream_counts_once(spark, tmp_path):
         stream = read_failure_stream(spark, landing)
         stream_failures(stream, kb, str(tmp_path / "c"), "f").awaitTermination()
     assert kb.patterns().core.first()["count"] == 9
-    # a batch that is delivered again is recognised
-    assert jobs.ingest(kb, batches[1], batches[1], "f", 1) is None
+    # a batch that is delivered again is recognised by query and number
+    (query,) = {r.source for r in kb._commits().collect()}
+    assert jobs.ingest(kb, batches[1], batches[1], query, 1) is None
     # and so are its failures under another number
     jobs.ingest(kb, batches[1], batches[1], "f", 2)
     assert kb.patterns().core.first()["count"] == 9 and kb.runs_seen().count() == 9
@@ -291,3 +295,91 @@ def test_command_line(spark, tmp_path):
     main([*kb, "report", "--output", f"{at}/out", "--format", "json", "--checkout", tree])
     assert spark.read.json(f"{at}/out/frequency").count() == 3
     assert spark.read.json(f"{at}/out/stale_markers").count() == 5
+
+
+def test_a_fresh_checkpoint_is_another_query(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    for k in range(2):
+        landing = str(tmp_path / f"landing{k}")
+        failures(spark, {"run_id": k}, start=k).coalesce(1).write.parquet(landing)
+        stream = read_failure_stream(spark, landing)
+        stream_failures(stream, kb, str(tmp_path / f"c{k}"), "f").awaitTermination()
+    assert kb.patterns().core.first()["count"] == 2
+
+
+def test_logs_that_land_before_their_run_wait_for_it(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    checkpoint = str(tmp_path / "checkpoint")
+    logs = read_log_stream(spark, land_logs(tmp_path / "logs"))
+    landed = [{1}, {1, 5}, {1, 2, 5}]
+    runs, artifacts = tables(spark)
+
+    def run():
+        return failed_runs(runs, limit=None).filter(runs.run_id.isin(landed[0])), artifacts
+
+    for k in range(3):
+        note = tmp_path / "logs" / "run_id=3" / "artifact_id=31" / f"more{k}.html"
+        note.write_text("nothing")
+        stream_logs(logs, run, kb, checkpoint, "logs").awaitTermination()
+        assert {r.run_id for r in kb.runs_seen().collect()} == landed[0]
+        if k < 2:
+            landed.pop(0)
+    assert core_rows(kb) == EXPECTED
+
+
+def test_long_documents_come_back_whole(spark, tmp_path):
+    from failsig.operators import fold
+    from failsig.sources.documents import write_documents
+
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    rows = [
+        {"run_id": i, "test_name": f"t{i % 7}", "test_file": f"f{i % 5}.go:3"} for i in range(30)
+    ]
+    one = failures(spark, *rows).withColumn("signature_hash", F.lit("00"))
+    jobs.ingest(kb, one)
+    write_documents(fold.documents(kb.patterns(), part_items=2), str(tmp_path / "docs"))
+    other = KnowledgeBase(spark, str(tmp_path / "kb2"))
+    jobs.import_documents(other, read_documents(spark, str(tmp_path / "docs"), lines=True))
+    for name, column in (("tests", "test_name"), ("files", "file")):
+        want = [r[column] for r in kb.patterns().tables()[name].orderBy("ord").collect()]
+        got = [r[column] for r in other.patterns().tables()[name].orderBy("ord").collect()]
+        assert got == want and len(want) in (5, 7)
+    assert other.patterns().core.count() == kb.patterns().core.count()
+
+
+def test_archives_nobody_wants_are_not_read(spark, tmp_path):
+    root = land_logs(tmp_path / "logs", zipped=True)
+    (tmp_path / "logs/run_id=3/artifact_id=31/logs.zip").write_bytes(b"broken")
+    (tmp_path / "logs/run_id=1/artifact_id=11/logs.zip").write_bytes(b"broken too")
+    runs, artifacts = tables(spark)
+    failed = failed_runs(runs, limit=None)
+    logs = read_zip_logs(spark, root, [(2, 21)])
+    plan = logs._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "run_id" in plan.split("PartitionFilters: [")[1][:80]
+    assert {r.artifact_id for r in logs.collect()} == {21}
+
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    stats = jobs.ingest_logs(
+        kb, lambda keys: read_zip_logs(spark, root, keys), failed, artifacts, per_commit=2
+    )
+    assert len(stats) == 2 and sum(s[0] for s in stats) == 6
+    (bad,) = kb.grown("skipped").collect()
+    assert (bad.run_id, bad.artifact_id) == (1, 11) and bad.error.startswith("BadZipFile")
+    assert sorted(r.run_id for r in kb.runs_seen().collect()) == [1, 2, 5]
+    want = {k: v for k, v in EXPECTED.items() if k not in ("builds with a secret", "panics")}
+    assert core_rows(kb) == want
+
+
+def test_stale_rows_keep_scan_order(spark, tmp_path):
+    from failsig.operators.links import stale_table
+
+    for folder in ("test/farm", "test/system", "test/system/a", "elsewhere"):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / "x.bats").write_text("# a\nskip # see #4321\nskip # see #4321\n")
+    markers = find_markers(source_lines(spark, str(tmp_path)))
+    rows = stale_table(markers).orderBy("issue", "place").collect()
+    assert [(r.file, r.line) for r in rows] == [
+        ("test/system/a/x.bats", 2),
+        ("test/system/x.bats", 2),
+        ("test/farm/x.bats", 2),
+    ]
