@@ -38,6 +38,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below this driver's folder in ``spark.checkpoint.dir``, deleted at its end."""
+    base = checkpoint_dir(spark)
+    if base not in _JOBS:
+        _JOBS[base] = f"{base.rstrip('/')}/failsig-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, _JOBS[base])
+    return f"{_JOBS[base]}/{uuid.uuid4().hex}"
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """``df`` computed once, written as Parquet below ``spark.checkpoint.dir`` and read back.
 
@@ -45,11 +54,7 @@ def frozen(df: DataFrame) -> DataFrame:
     job's tables go when the driver ends, or earlier with ``release``.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    if base not in _JOBS:
-        _JOBS[base] = f"{base.rstrip('/')}/failsig-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, _JOBS[base])
-    path = f"{_JOBS[base]}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
@@ -112,6 +117,6 @@ def spread(df: DataFrame, by: str) -> DataFrame:
     bytes is all this can cost; anything larger is read as it lies.
     """
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df.repartition(spark.sparkContext.defaultParallelism, by) if size < split else df

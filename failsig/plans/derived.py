@@ -116,7 +116,7 @@ VIEWS: dict[str, View] = {
             " WHEN 2 THEN ' [07:08:09] done'"
             " WHEN 3 THEN ' <+ 12.5ms> done'"
             " WHEN 4 THEN ' at 0x' || substr(md5(cast(event_id AS string)), 1, 10)"
-            " WHEN 5 THEN ' sum ' || sha256(cast(event_id AS string))"
+            " WHEN 5 THEN ' sum ' || md5(cast(event_id AS string)) || md5(cast(user_id AS string))"
             " WHEN 6 THEN ' in /tmp/CI_' || substr(md5(cast(event_id AS string)), 1, 4)"
             " WHEN 7 THEN ' dir podman_bats.' || substr(md5(cast(event_id AS string)), 1, 6)"
             " WHEN 8 THEN ' see /var/tmp/job.' || cast(event_id % 7 AS string) || '/podman/x'"
@@ -222,6 +222,7 @@ def log_html(text: Column) -> Column:
     """Dress text as a log formatter does: a stamp per line, markup and escaped characters."""
     stamp = '<span class="timestamp">{}</span>'.format
     out = F.replace(text, F.lit("'"), F.lit("&#39;"))
+    out = F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     out = F.concat(F.lit(stamp(" " * 9)), F.replace(out, F.lit("\n"), F.lit("\n" + stamp(" " * 9))))
     out = F.replace(out, F.lit(stamp(" " * 9) + "[+0350s] "), F.lit(stamp("[+0350s] ")))
     return F.replace(out, F.lit("* [FAILED]"), F.lit("&bull; <b\nclass='x'>[FAILED]</b>"))

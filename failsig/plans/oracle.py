@@ -356,6 +356,59 @@ ORACLE: dict[str, str] = {
         "SELECT signature_hash, run_id, dim_label AS dimensions, cast(batch AS BIGINT) AS batch,"
         " seq FROM occ " + _RECENT.format("batch DESC, seq DESC", 10),
     ),
+    "incremental_tests": _sql(
+        _WINDOWS,
+        "SELECT signature_hash, test_name, cast(m.b AS BIGINT) AS batch, m.s AS seq FROM (SELECT"
+        " signature_hash, test_name, min({'b': batch, 's': sq}) AS m FROM occ GROUP BY ALL)",
+    ),
+    "incremental_files": _sql(
+        _WINDOWS,
+        "SELECT signature_hash, file, cast(m.b AS BIGINT) AS batch, m.s AS seq FROM (SELECT"
+        " signature_hash, split_part(test_file, ':', 1) AS file, min({'b': batch, 's': sq}) AS m"
+        " FROM occ WHERE test_file <> '' GROUP BY ALL)",
+    ),
+    "document_roundtrip": _sql(
+        [
+            *_OCC,
+            "v AS (SELECT signature_hash, 'test' AS kind, test_name AS value, min(seq) AS s"
+            " FROM occ GROUP BY ALL UNION ALL SELECT signature_hash, 'file',"
+            " split_part(test_file, ':', 1), min(seq) FROM occ WHERE test_file <> '' GROUP BY ALL)",
+        ],
+        "SELECT signature_hash, kind, value, cast(row_number() OVER (PARTITION BY signature_hash,"
+        " kind ORDER BY s) - 1 AS INT) AS place FROM v",
+    ),
+    "kb_lookup": _sql(
+        [*_WINDOWS, *_counts(order="row(batch, sq)")],
+        "SELECT signature_hash, title, count FROM p ORDER BY count DESC, signature_hash LIMIT 1",
+    ),
+    "kb_runs_seen": "WITH {} SELECT DISTINCT run_id FROM failures_v".format(view_sql("failures_v")),
+    "index_files": _sql(
+        [*_WINDOWS, *_counts(order="row(batch, sq)")],
+        "SELECT signature_hash, title, count, '' AS category, last_seen FROM p",
+    ),
+    "report_files": _sql(
+        [*_WINDOWS, *_counts(order="row(batch, sq)"), *_SUMMARY],
+        "SELECT row_number() OVER (ORDER BY count DESC, title, signature_hash) AS rank, count,"
+        " substr(replace(title, '|', '\\|'), 1, 80) AS title, coalesce(dimensions, '-')"
+        " AS dimensions, '_uncategorized_' AS category FROM p LEFT JOIN summary USING"
+        " (signature_hash)",
+    ),
+    "zip_log_ingest": _sql(
+        [
+            *_JOB,
+            "an AS (SELECT run_id, artifact_id, min(name) AS name FROM artifacts_v"
+            " WHERE NOT expired AND name LIKE '%.logs' GROUP BY ALL)",
+            f"aa AS (SELECT run_id, artifact_id, {_axes_of('name')} FROM an)",
+        ],
+        "SELECT run_id, artifact_id, suite, count(*) AS failures FROM rec JOIN aa USING (run_id)"
+        " JOIN runs_v r USING (run_id) WHERE r.conclusion = 'failure'"
+        " AND NOT (suite = 'int' AND parser_ord = 1) AND NOT (suite = 'sys' AND parser_ord = 0)"
+        " GROUP BY ALL",
+    ),
+    "stream_late_runs": _sql(
+        [*_JOB, *_occurrences(), *_counts()],
+        "SELECT signature_hash, count, first_seen, last_seen FROM p",
+    ),
     "pattern_lookup": _sql(
         _P, "SELECT f.seq, f.signature_hash, p.count FROM f JOIN p USING (signature_hash)"
     ),
@@ -481,9 +534,9 @@ ORACLE: dict[str, str] = {
     ),
     "categorize_patterns": _sql(
         _P,
-        "SELECT signature_hash, CASE WHEN signature LIKE 'podman volume%' THEN 'storage-environment'"
-        " WHEN signature LIKE 'podman network%' THEN 'network-registry' ELSE '' END AS category,"
-        " CASE WHEN signature LIKE 'podman volume%' THEN 'low' ELSE '' END AS confidence FROM p",
+        "SELECT signature_hash, CASE WHEN signature LIKE '%podman volume%' THEN 'storage-environment'"
+        " WHEN signature LIKE '%podman network%' THEN 'network-registry' ELSE '' END AS category,"
+        " CASE WHEN signature LIKE '%podman volume%' THEN 'low' ELSE '' END AS confidence FROM p",
     ),
     "log_ingest": _JOB_PATTERNS,
     "log_ingest_shuffled": _JOB_PATTERNS,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+import io
+import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dimensions import AXES, artifact_axes, dim_label
@@ -15,10 +17,13 @@ from ..functions.replies import parse_reply
 from ..functions.text import blank_if_null
 from ..operators import categorize, fold, index, links, report
 from ..operators.parse import parse_logs
-from ..operators.scale import checkpoint_dir, frozen, salted_join
-from ..sources.ci import failed_jobs, failed_runs, log_artifacts
+from ..operators.scale import frozen, salted_join, scratch
+from ..sources import schemas
+from ..sources.ci import failed_jobs, failed_runs, log_artifacts, unzipped
+from ..sources.documents import patterns_of, read_documents, write_documents
 from ..sources.knowledge_base import KnowledgeBase
-from ..streaming.ingest import stream_failures
+from ..streaming.ingest import stream_failures, stream_logs
+from . import jobs
 from .derived import PATTERN_REPLY, apply_view, log_html, log_text, table, view
 from .failures import log_failures, run_artifacts, runs_covered
 
@@ -38,6 +43,22 @@ def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fingerprint(fold.complete(view(spark, sf_dir, "failures_v")))
 
 
+def _stored_form(failures: DataFrame) -> DataFrame:
+    """The columns that a knowledge base keeps, the view's ``seq`` being the place."""
+    place = F.struct(
+        *[F.lit(0).cast("bigint").alias(c) for c in ("run_ord", "run_tie")],
+        F.col("seq").alias("artifact_ord"),
+        F.lit(0).alias("file_ord"),
+        F.lit("").alias("filename"),
+        *[F.lit(0).alias(c) for c in ("parser_ord", "pos")],
+    )
+    return (
+        failures.withColumn("seq", place)
+        .withColumn("artifact_id", F.lit(0).cast("bigint"))
+        .withColumn("suite_name", F.lit(""))
+    )
+
+
 def _occurrences(spark: SparkSession, sf_dir: str, *payload: str) -> DataFrame:
     return fold.occurrences(_failures(spark, sf_dir), payload)
 
@@ -283,6 +304,77 @@ def incremental_recent(spark, sf_dir):
     )
 
 
+@query
+def incremental_tests(spark, sf_dir):
+    """AGG-9: test names after two overlapping ingests."""
+    tests = _merged(spark, sf_dir).tests
+    return tests.select("signature_hash", "test_name", "ord.batch", "ord.seq")
+
+
+@query
+def incremental_files(spark, sf_dir):
+    """AGG-9: source files after two overlapping ingests."""
+    return _merged(spark, sf_dir).files.select("signature_hash", "file", "ord.batch", "ord.seq")
+
+
+@query
+def document_roundtrip(spark, sf_dir):
+    """SRC-6, PRJ-6, SNK-1: lists of patterns written as documents in short parts and read back."""
+    path = scratch(spark)
+    write_documents(fold.documents(_patterns(spark, sf_dir), part_items=2), path)
+    back = patterns_of(read_documents(spark, path, lines=True))
+    order = Window.partitionBy("signature_hash").orderBy("ord")
+
+    def placed(rows: DataFrame, kind: str, value: str) -> DataFrame:
+        place = (F.row_number().over(order) - 1).alias("place")
+        return rows.select("signature_hash", F.lit(kind).alias("kind"), F.col(value).alias("value"), place)
+
+    return placed(back.tests, "test", "test_name").union(placed(back.files, "file", "file"))
+
+
+# -- knowledge base ---------------------------------------------------------------------
+
+
+def _knowledge(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
+    """A knowledge base after two overlapping ingests."""
+    kb = KnowledgeBase(spark, scratch(spark))
+    for window in _windows(_stored_form(_failures(spark, sf_dir))):
+        jobs.ingest(kb, window)
+    return kb
+
+
+@query
+def kb_lookup(spark, sf_dir):
+    """SRC-7: the most frequent pattern, by its hash."""
+    kb = _knowledge(spark, sf_dir)
+    top = kb.patterns().core.orderBy(F.desc("count"), "signature_hash").first()
+    return kb.lookup(top["signature_hash"] if top else "").select("signature_hash", "title", "count")
+
+
+@query
+def kb_runs_seen(spark, sf_dir):
+    """SRC-8."""
+    return _knowledge(spark, sf_dir).runs_seen()
+
+
+@query
+def index_files(spark, sf_dir):
+    """SNK-2: the entries of the index as written."""
+    path = scratch(spark)
+    jobs.write_index(_knowledge(spark, sf_dir), path)
+    kind = "signature_hash string, title string, count bigint, category string, last_seen string"
+    rows = spark.read.schema(kind).json(f"{path}/patterns")
+    return rows.select("signature_hash", "title", "count", "category", "last_seen")
+
+
+@query
+def report_files(spark, sf_dir):
+    """SNK-3: the frequency table of the report as written."""
+    path = scratch(spark)
+    jobs.write_tables(jobs.report_tables(_knowledge(spark, sf_dir)), path)
+    return spark.read.parquet(f"{path}/frequency")
+
+
 @query
 def pattern_lookup(spark, sf_dir):
     """SRC-7 as a join: failures with the state of the pattern they belong to."""
@@ -452,14 +544,18 @@ def categorize_patterns(spark, sf_dir):
 # -- whole jobs -------------------------------------------------------------------------
 
 
-def _all_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures of the failed runs' logs; the first log artifact of a run carries its log."""
-    artifacts = (
-        log_artifacts(view(spark, sf_dir, "artifacts_v"))
+def _one_name(artifacts: DataFrame) -> DataFrame:
+    return (
+        log_artifacts(artifacts)
         .groupBy("run_id", "artifact_id")
         .agg(F.min("name").alias("name"))
         .withColumn("expired", F.lit(False))
     )
+
+
+def _job_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Logs, failed runs and artifacts; the first log artifact of a run carries its log."""
+    artifacts = _one_name(view(spark, sf_dir, "artifacts_v"))
     first = artifacts.groupBy("run_id").agg(F.min("artifact_id").alias("artifact_id"))
     logs = (
         _logs(spark, sf_dir, "lines_v", "blocks_v")
@@ -473,6 +569,11 @@ def _all_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     runs = failed_runs(view(spark, sf_dir, "runs_v"), limit=None)
+    return logs, runs, artifacts
+
+
+def _all_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs, runs, artifacts = _job_inputs(spark, sf_dir)
     return log_failures(logs, run_artifacts(runs, artifacts))
 
 
@@ -491,44 +592,75 @@ def log_ingest_shuffled(spark, sf_dir):
     return fold.pattern_counts(occ).drop("seq")
 
 
+def _zipper():
+    def pack(bats: pd.Series, ginkgo: pd.Series) -> pd.Series:
+        def one(*members: str) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("readme.txt", "not ok 1 no log")
+                for name, text in zip(("bats.html", "ginkgo.html"), members, strict=True):
+                    archive.writestr(name, text)
+            return out.getvalue()
+
+        return pd.Series([one(*x) for x in zip(bats, ginkgo, strict=True)], dtype=object)
+
+    return F.pandas_udf(pack, "binary")
+
+
+@query
+def zip_log_ingest(spark, sf_dir):
+    """SRC-3, UDF-2, JN-4, PRJ-2: every log artifact is an archive of two logs of its run."""
+    texts = None
+    for name in ("lines_v", "blocks_v"):
+        text = log_text(view(spark, sf_dir, name))
+        text = text.select(F.col("run_id"), log_html(F.col("text")).alias(name))
+        texts = text if texts is None else texts.join(text, "run_id")
+    artifacts = _one_name(view(spark, sf_dir, "artifacts_v"))
+    held = artifacts.select("run_id", "artifact_id").join(texts, "run_id")
+    archives = held.select("run_id", "artifact_id", _zipper()("lines_v", "blocks_v").alias("content"))
+    runs = failed_runs(view(spark, sf_dir, "runs_v"), limit=None)
+    logs = unzipped(archives).filter("error IS NULL").drop("error")
+    failures = log_failures(logs, run_artifacts(runs, artifacts))
+    return failures.groupBy("run_id", "artifact_id", "suite").agg(F.count("*").alias("failures"))
+
+
+@query
+def stream_late_runs(spark, sf_dir):
+    """STR-1: logs as a stream, half of whose runs get their rows only later."""
+    logs, runs, artifacts = _job_inputs(spark, sf_dir)
+    logs = logs.select(*spark.createDataFrame([], schemas.LOGS).columns)
+    root = scratch(spark)
+    kb = KnowledgeBase(spark, f"{root}/kb")
+    early = runs.filter(F.pmod(F.xxhash64("run_id"), F.lit(2)) == 0)
+    landing = F.pmod(F.xxhash64("run_id", F.lit(1)), F.lit(4))
+    for part, known in ((landing > 0, early), (landing == 0, runs)):
+        logs.filter(part).write.mode("append").parquet(f"{root}/landed")
+        stream = spark.readStream.schema(schemas.LOGS).parquet(f"{root}/landed")
+        tables = (known, artifacts)
+        stream_logs(stream, lambda t=tables: t, kb, f"{root}/stream", "logs").awaitTermination()
+    return kb.patterns().core.select("signature_hash", "count", "first_seen", "last_seen")
+
+
 @query
 def failures_per_artifact(spark, sf_dir):
     """AGG-14."""
     return index.failures_per_artifact(_all_failures(spark, sf_dir))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/failsig-{uuid.uuid4().hex}"
-
-
 @query
 def stream_ingest(spark, sf_dir):
     """STR-1..3, SRC-6..8, SNK-1, JN-5, JN-6: the events as a stream into a knowledge base."""
-    root = _scratch(spark)
+    root = scratch(spark)
     landed = table(spark, sf_dir, "events")
-    # three landings, the second of which brings part of the first again
-    third = F.pmod(F.xxhash64(F.floor(F.col("event_id") / 25)), F.lit(6))  # whole runs
-    for part in (third < 3, third.between(2, 3), third > 3):
-        landed.filter(part).coalesce(4).write.mode("append").parquet(f"{root}/landed")
-    events = (
-        spark.readStream.schema(landed.schema)
-        .option("maxFilesPerTrigger", 4)
-        .parquet(f"{root}/landed")
-    )
-    failures = with_fingerprint(fold.complete(apply_view(events, "failures_v")))
-    place = F.struct(
-        *[F.lit(0).cast("bigint").alias(c) for c in ("run_ord", "run_tie")],
-        F.col("seq").alias("artifact_ord"),
-        F.lit(0).alias("file_ord"),
-        F.lit("").alias("filename"),
-        *[F.lit(0).alias(c) for c in ("parser_ord", "pos")],
-    )
-    failures = (
-        failures.withColumn("seq", place)
-        .withColumn("artifact_id", F.lit(0).cast("bigint"))
-        .withColumn("suite_name", F.lit(""))
-    )
+    landed.filter("false").write.parquet(f"{root}/landed")
+    events = spark.readStream.schema(landed.schema).parquet(f"{root}/landed")
+    failures = _stored_form(with_fingerprint(fold.complete(apply_view(events, "failures_v"))))
     kb = KnowledgeBase(spark, f"{root}/kb")
-    stream_failures(failures, kb, f"{root}/stream", "events").awaitTermination()
+    # three landings of whole runs, the second of which brings part of the first again
+    run = F.floor(F.col("event_id") / 25)
+    last = landed.agg(F.max(run)).first()[0] or 0
+    for low, high in ((0, 0.5), (0.3, 0.7), (0.7, 2)):
+        part = landed.filter((run >= low * last) & (run < high * last + (high > 1)))
+        part.write.mode("append").parquet(f"{root}/landed")
+        stream_failures(failures, kb, f"{root}/stream", "events").awaitTermination()
     return kb.patterns().core.select("signature_hash", "count", "first_seen", "last_seen", "title")

@@ -149,5 +149,9 @@ def read_zip_logs(spark: SparkSession, path: str, wanted: Keys | None = None) ->
     :func:`read_html_logs`; archives of other artifacts are neither read nor unzipped.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    found = _ids_from_path(_only(files, wanted).select("run_id", "artifact_id", "content"))
-    return found.mapInPandas(_unzipper(), f"{schemas.LOGS}, error string")
+    return unzipped(_ids_from_path(_only(files, wanted).select("run_id", "artifact_id", "content")))
+
+
+def unzipped(archives: DataFrame) -> DataFrame:
+    """UDF-2: the logs in ``archives`` (run_id, artifact_id, content)."""
+    return archives.mapInPandas(_unzipper(), f"{schemas.LOGS}, error string")
