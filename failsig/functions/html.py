@@ -24,6 +24,11 @@ COMMON_ENTITIES = {
     "&middot;": "·",
     "&larr;": "←",
     "&rarr;": "→",
+    "&bull;": "•",
+    "&copy;": "©",
+    "&hellip;": "…",
+    "&ndash;": "–",
+    "&mdash;": "—",
     "&amp;": "&",
 }
 # Any reference that is not one of the above, closed by its semicolon. It may match more than

@@ -114,7 +114,7 @@ VIEWS: dict[str, View] = {
             " || CASE event_id % 40"
             " WHEN 1 THEN ' 03/21/25 07:08:09.1 done'"
             " WHEN 2 THEN ' [07:08:09] done'"
-            " WHEN 3 THEN ' <+ 12.5ms> done'"
+            " WHEN 3 THEN ' <+ 12.5m> done'"
             " WHEN 4 THEN ' at 0x' || substr(md5(cast(event_id AS string)), 1, 10)"
             " WHEN 5 THEN ' sum ' || md5(cast(event_id AS string)) || md5(cast(user_id AS string))"
             " WHEN 6 THEN ' in /tmp/CI_' || substr(md5(cast(event_id AS string)), 1, 4)"

@@ -21,7 +21,9 @@ _GROWING = {
     "runs_seen": schemas.RUNS_SEEN,
     "skipped": schemas.SKIPPED,
 }
-_SORT = "signature_hash"
+# what tables are sorted by; runs are met again by range, so the ledger is sorted by run
+_SORT = {"occurrences": "run_id"}
+_SORT_ELSE = "signature_hash"
 
 
 class KnowledgeBase:
@@ -97,8 +99,9 @@ class KnowledgeBase:
         schema = _GROWING.get(table) or schemas.PATTERN_TABLES[table]
         columns = self.spark.createDataFrame([], schema).columns
         out = df.select(*columns)
-        if _SORT in columns:
-            out = out.sortWithinPartitions(_SORT)
+        key = _SORT.get(table, _SORT_ELSE)
+        if key in columns:
+            out = out.sortWithinPartitions(key)
         out.write.mode("overwrite").parquet(f"{self.root}/{table}/version={version}")
         return self.read_version(table, version)
 

@@ -55,6 +55,41 @@ def test_every_query_has_sql():
     assert QUERIES.items() <= entry.queries().items()
 
 
+def test_every_rule_and_cap_has_data(spark):
+    """Each normalisation rule changes a row of the derived failures, and so does each cut."""
+    import re
+
+    from failsig.functions.normalize import RULES
+    from failsig.plans.derived import view
+
+    rows = view(spark, SF_DIR, "failures_v").collect()
+    fired = set()
+    for row in rows:
+        text = row["error_excerpt"]
+        for i, (pattern, replacement, ignore_case) in enumerate(RULES):
+            after = re.sub(pattern, replacement, text, flags=re.IGNORECASE if ignore_case else 0)
+            if after != text:
+                fired.add(i)
+            text = after
+    assert fired == set(range(len(RULES)))
+    assert any(len(r["error_excerpt"]) > 2000 for r in rows)
+    assert any(len(r["test_name"]) > 120 and "|" in r["test_name"] for r in rows)
+    assert any(len(r["head_sha"]) > 12 for r in rows)
+
+
+def test_the_ledger_is_read_by_the_range_of_runs(spark, tmp_path):
+    from helpers import failures
+
+    from failsig.plans import jobs
+    from failsig.sources.knowledge_base import KnowledgeBase
+
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    jobs.ingest(kb, failures(spark, {"run_id": 5}))
+    near = kb.grown("occurrences").filter("run_id between 5 and 6")
+    text = near._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(run_id,5)" in text
+
+
 def test_recent_runs_are_cut_before_the_shuffle(spark):
     text = plan(spark, "recent_runs")
     assert text.index("WindowGroupLimit") < text.rindex("Exchange hashpartitioning(signature_hash")
