@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import frozen
@@ -11,6 +11,7 @@ from .common import SPACES, fold_of, let, text_of, words
 BANDS = (100, 1000)  # words; the strata are the lengths below, between and from these
 LIMIT = 0.02  # of the good texts of a stratum, rejected at most
 CONFIDENCE = 0.95  # that the limit holds in every stratum at once
+LEAST = 0.01  # no cutoff is lower: one symbol, bar or repeat in a hundred never rejects a text
 LEVELS = (0.98, 0.99, 0.995, 0.999, 1.0)  # quantiles of good texts that are tried as cutoffs
 
 #: each rule rejects texts whose figure is above its cutoff
@@ -100,13 +101,15 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def cutoffs(figures: DataFrame, labels: DataFrame) -> DataFrame:
     """``stratum`` and a certified cutoff for each rule, null where none could be certified.
 
-    Labelled texts fall into two halves by a hash of the id. Quantiles of the good texts of the
-    first half propose cutoffs for each stratum and rule. On the second half a proposal is
+    A quarter of the labelled texts, by a hash of the id, proposes: quantiles of its good texts
+    are the cutoffs tried for each stratum and rule. On the other three quarters a proposal is
     accepted only if its false rejections would be this few with small probability were its true
     rate above the rule's share of ``LIMIT``: an exact binomial test at level (1 - CONFIDENCE) /
-    (strata * rules * levels), Bonferroni's correction. Of those accepted the lowest stands. The
-    rules' shares add up to ``LIMIT``, so that bounds the false rejections of all rules together.
-    There are as many rows as strata, whatever the input.
+    (strata * rules), Bonferroni's correction. The cutoffs of one stratum and rule are tested
+    from the highest down and the first failure ends that, a fixed sequence, which needs no
+    correction of its own. Of those accepted the lowest that rejects a bad text stands. The rules'
+    shares add up to ``LIMIT``, so that bounds the false rejections of all rules together. There
+    are as many rows as strata, whatever the input.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.max("quality").alias("quality")
@@ -116,22 +119,24 @@ def cutoffs(figures: DataFrame, labels: DataFrame) -> DataFrame:
             F.expr(e).alias(r) for r, e in RULES.items()
         ])
         .join(marks, "doc_id")
-        .withColumn("half", fold_of(2))
+        .withColumn("fold", fold_of(4))
     )
     pairs = ", ".join(f"'{r}', {r}" for r in RULES)
     long = rows.select(
-        "stratum", "quality", "half", F.expr(f"stack({len(RULES)}, {pairs}) as (rule, figure)")
+        "stratum", "quality", "fold", F.expr(f"stack({len(RULES)}, {pairs}) as (rule, figure)")
     )
     good = F.col("quality") > 0
     proposed = (
-        long.filter(good & (F.col("half") == 0))
+        long.filter(good & (F.col("fold") == 0))
         .groupBy("stratum", "rule")
         .agg(F.percentile_approx("figure", list(LEVELS), 100_000).alias("levels"))
-        .select("stratum", "rule", F.explode(F.array_distinct("levels")).alias("cutoff"))
+        .select("stratum", "rule", F.explode("levels").alias("level"))
+        .select("stratum", "rule", F.greatest("level", F.lit(LEAST)).alias("cutoff"))
+        .distinct()
     )
     over = F.col("figure") > F.col("cutoff")
     tests = (
-        long.filter(F.col("half") == 1)
+        long.filter(F.col("fold") > 0)
         .join(F.broadcast(proposed), ["stratum", "rule"])  # at most strata * rules * levels rows
         .groupBy("stratum", "rule", "cutoff")
         .agg(
@@ -140,10 +145,14 @@ def cutoffs(figures: DataFrame, labels: DataFrame) -> DataFrame:
             F.count_if(~good & over).alias("true"),
         )
     )
-    level = (1 - CONFIDENCE) / ((len(BANDS) + 1) * len(RULES) * len(LEVELS))
-    safe = binomial_tail(F.col("n"), F.col("false"), LIMIT / len(RULES)) <= level
+    level = (1 - CONFIDENCE) / ((len(BANDS) + 1) * len(RULES))
+    passed = (F.col("n") > 0) & (
+        binomial_tail(F.col("n"), F.col("false"), LIMIT / len(RULES)) <= level
+    )
+    down = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))
     return (
-        tests.filter((F.col("n") > 0) & (F.col("true") > 0) & safe)
+        tests.withColumn("safe", F.min(passed).over(down))
+        .filter(F.col("safe") & (F.col("true") > 0))
         .groupBy("stratum")
         .pivot("rule", list(RULES))
         .agg(F.min("cutoff"))
