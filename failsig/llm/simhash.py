@@ -127,7 +127,7 @@ def near_duplicates(
     the smallest doc_id in it; null ids count only if there is no other. Repeated rows stay.
     """
     prints = frozen(docs.select("doc_id", fingerprint(utf8(), shingle).alias("fp")))
-    found = classes(prints, distance)
+    found = frozen(classes(prints, distance))  # so that the join below can split hot prints
     return prints.join(found, "fp", "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
