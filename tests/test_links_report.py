@@ -47,12 +47,13 @@ def test_link_by_file_name(spark, tmp_path):
     again = links.link(core, links.pattern_issues(p.files, markers.filter("issue = 1234")))
     assert {r.title: r.linked_issues for r in again.collect()}["a"] == [31001]
     stale = links.stale_table(links.stale_markers(markers, core)).collect()
-    assert [tuple(r) for r in stale] == [(31002, "test/e2e/snapshot_test.go", 2)]
+    assert [tuple(r)[:3] for r in stale] == [(31002, "test/e2e/snapshot_test.go", 2)]
 
 
 def test_stale_table_shows_a_file_once(spark):
     df = spark.createDataFrame([(1234, "a", 9), (1234, "a", 3), (1234, "b", 5)], "issue int, file string, line int")
-    assert sorted(map(tuple, links.stale_table(df).collect())) == [(1234, "a", 3), (1234, "b", 5)]
+    rows = links.stale_table(df).orderBy("issue", "place").collect()
+    assert [tuple(r)[:3] for r in rows] == [(1234, "a", 3), (1234, "b", 5)]
 
 
 def sample(spark):
