@@ -34,3 +34,58 @@ SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM rated
 """
+
+ORACLE["op6_decontamination"] = r"""
+WITH it AS (
+  SELECT item_id::VARCHAR AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+starts AS (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM it WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, array_to_string(w[i:i + 12], ' ') AS t, least(len(w), 13) AS n FROM starts),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+sizes AS (SELECT DISTINCT n FROM win),
+places AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+grams AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM places),
+hit AS (SELECT rid, i, n, item FROM grams JOIN win USING (t, n)),
+spots AS (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM hit)),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM spots GROUP BY rid),
+named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""
+
+ORACLE["op4_suffix_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h,
+         octet_length(encode(coalesce(text, ''))) AS n
+  FROM documents),
+stretches AS (SELECT rid, h, n, unnest(range(0, n - 399, 1024)) AS z FROM d WHERE n >= 400),
+cut AS (SELECT rid, z, least(n - 399 - z, 1024) AS k, substr(h, 2 * z + 1, 2 * (1024 + 399)) AS s FROM stretches),
+places AS (SELECT rid, z, s, unnest(range(0, k)) AS j FROM cut),
+windows AS (SELECT rid, z + j AS i, md5(substr(s, 2 * j + 1, 800)) AS m FROM places),
+twice AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+repeated AS (SELECT rid, i FROM windows SEMI JOIN twice USING (m)),
+marked AS (
+  SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh
+  FROM repeated),
+numbered AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS g FROM marked),
+spans AS (SELECT rid, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY rid, g),
+parts AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS z FROM spans),
+pieces AS (
+  SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail,
+         string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS front
+  FROM parts JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN pieces USING (rid)
+"""
