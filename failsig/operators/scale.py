@@ -33,9 +33,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def _delete(jvm, conf, path: str) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -43,7 +43,8 @@ def scratch(spark: SparkSession) -> str:
     base = checkpoint_dir(spark)
     if base not in _JOBS:
         _JOBS[base] = f"{base.rstrip('/')}/failsig-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, _JOBS[base])
+        # bound now: the session may be stopped by then
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), _JOBS[base])
     return f"{_JOBS[base]}/{uuid.uuid4().hex}"
 
 
@@ -55,7 +56,7 @@ def frozen(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
@@ -66,7 +67,8 @@ def release(*tables: DataFrame) -> None:
     for table in tables:
         path = _PATHS.pop(table, None)
         if path:
-            _delete(table.sparkSession, path)
+            spark = table.sparkSession
+            _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
 
 
 def with_position(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
