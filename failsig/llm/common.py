@@ -63,6 +63,18 @@ def draw(key: Column) -> Column:
     )
 
 
+def content_key(doc: str, text: str) -> Column:
+    """What tells rows apart by content: the id, and the text by two hashes and its length."""
+    body = text_of(text)
+    return F.concat_ws(
+        ":",
+        F.coalesce(F.col(doc).cast("string"), F.lit("null")),
+        F.xxhash64(body),
+        F.crc32(body.cast("binary")),
+        F.octet_length(body),
+    )
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` as one struct ``row``: columns that an operator adds can't clash with its own."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import frozen
-from .common import NON_WORD, lower_ascii, packed, text_of, words
+from .common import NON_WORD, content_key, lower_ascii, packed, text_of, words
 
 WINDOW = 13  # words
 AT_ONCE = 200_000  # windows, or words of them, that are broadcast at a time
@@ -167,9 +167,14 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` of which less than a twentieth of the words is hit."""
-    rows = frozen(packed(docs).select(F.monotonically_increasing_id().alias("id"), "row"))
-    found = hits(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), benchmark, size)
-    bad = found.filter(is_contaminated(covered("spans"), F.col("n_words"))).select(
-        F.col("doc_id").alias("id")
+    rows = packed(docs).withColumn("key", content_key("row.doc_id", "row.text"))
+    found = hits(
+        rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), benchmark, size
     )
-    return rows.join(bad, "id", "left_anti").select("row.*")
+    # stored: its size decides whether the texts need a shuffle
+    bad = frozen(
+        found.filter(is_contaminated(covered("spans"), F.col("n_words")))
+        .select(F.col("doc_id").alias("key"))
+        .distinct()
+    )
+    return rows.join(bad, "key", "left_anti").select("row.*")

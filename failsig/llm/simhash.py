@@ -6,12 +6,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.scale import frozen
-from .common import packed, ship, utf8
+from .common import content_key, packed, ship, utf8
 from .graph import components
 
 SHINGLE = 3  # words
@@ -139,21 +139,28 @@ def deduplicated(
     docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
 ) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row of its smallest
-    doc_id stays, exactly one even if that row is repeated."""
-    rows = frozen(
+    doc_id stays, exactly one even if that row is repeated. Only keys and fingerprints are stored;
+    texts are shuffled once, to the keys that stay."""
+    prints = frozen(
         packed(docs).select(
-            F.monotonically_increasing_id().alias("rid"),
-            F.col("row.doc_id").alias("doc_id"),
+            "row.doc_id",
+            content_key("row.doc_id", "row.text").alias("key"),
             fingerprint(utf8("row.text"), shingle).alias("fp"),
-            "row",
         )
     )
-    found = classes(rows.select("doc_id", "fp"), distance).select("fp", "root")
-    # null ids last, then the order of rows breaks ties
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
-    of = rows.select("rid", "doc_id", "fp").join(found, "fp")
-    stay = of.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.rid"))
-    return rows.join(stay, "rid", "left_semi").select("row.*")
+    found = frozen(classes(prints, distance).select("fp", "root"))
+    # null ids last, then the key breaks ties
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
+    of = prints.join(found, "fp")
+    stay = frozen(of.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.key").alias("key")))
+    rows = packed(docs).withColumn("key", content_key("row.doc_id", "row.text"))
+    same = Window.partitionBy("key").orderBy("key")
+    return (
+        rows.join(stay, "key", "left_semi")
+        .withColumn("nth", F.row_number().over(same))
+        .filter("nth = 1")
+        .select("row.*")
+    )
 
 
 ship(__name__)
