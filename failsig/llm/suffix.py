@@ -207,9 +207,10 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     every = frozen(
         docs.mapInArrow(sample, "gram long, cls long, rid long, s long, run int, at int")
     )
-    often = every.groupBy("gram").count().filter("count > 1").select("gram")
+    # stored, so that the join below is nothing but a join, whose hot grams Spark can split
+    often = frozen(every.groupBy("gram").count().filter("count > 1").select("gram"))
     known = frozen(every.join(often, "gram"))
-    release(every)
+    release(every, often)
     classes = frozen(
         known.groupBy("gram", "cls").agg(
             F.count(F.lit(1)).alias("n"),
@@ -294,9 +295,8 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     whole = classes.filter("n > 1").select(F.col("gram").alias("g"), F.col("cls").alias("c"))
     one = classes.filter("n = 1").select("gram", "cls").join(partial, ["gram", "cls"])
     # a repeated class covers all of its run, so it needs no spans of its own
-    states = whole.select("g", "c", F.lit(None).cast("array<struct<a: int, b: int>>").alias("spans")).union(
-        one.select("gram", "cls", "spans")
-    )
+    none = F.lit(None).cast("array<struct<a: int, b: int>>").alias("spans")
+    states = frozen(whole.select("g", "c", none).union(one.select("gram", "cls", "spans")))
     found = known.join(states, (F.col("gram") == F.col("g")) & (F.col("cls") == F.col("c"))).select(
         "rid",
         F.transform(
