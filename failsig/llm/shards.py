@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import frozen, release
@@ -18,43 +20,65 @@ def _uniform(*key) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 20)) / float(1 << 20)
 
 
+def _drawn(weights: list[int], *key) -> Column:
+    """A shard drawn by the hash of ``key``, in proportion to its weight."""
+    total = sum(weights)
+    ends = [sum(weights[: i + 1]) / total for i in range(len(weights))] if total else []
+    bounds = F.array(*[F.lit(float(e)) for e in ends[:-1]]).cast("array<double>")
+    return F.size(F.filter(bounds, lambda e: e <= _uniform(*key)))
+
+
+def _listed(spark: SparkSession, rows: list, kind: str) -> DataFrame:
+    """A few rows of the driver's as a table that needs no Python on the executors."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+
+
 def propagate(cells: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFrame:
     """``grp``, ``cell``, ``rows`` and ``shard`` after label propagation under quotas.
 
     ``cells`` are pieces of groups of linked documents, with their first shard. In each round a
-    group's pieces ask to move to the shard that holds most of the group. How many rows may go
-    from one shard to another is set by the room of the target, counting what leaves it, and
-    shared among the askers in proportion; a piece moves if its hash falls below that share. The
-    driver sees the table of askers by shards only, whose size is fixed.
+    group's pieces ask to move to the shard with room that holds most of the group, or to any
+    with room if all of theirs are full; ties are broken anew each round. How many rows may go from
+    one shard to another is set by the room of the target, counting what leaves it, and shared among
+    the askers in proportion; a group moves if its hash falls below that share. A shard may end with
+    an eighth more than its room, which :func:`placed` moves on as whole groups. The driver sees the
+    table of askers by shards only, whose size is fixed.
     """
     n = len(room)
     state = cells
     for turn in range(rounds):
         held = state.groupBy("grp", "shard").agg(F.sum("rows").alias("r"))
-        wish = held.groupBy("grp").agg(
-            F.max(F.struct("r", F.xxhash64("grp", "shard").alias("tie"), "shard")).alias("best")
+        load = [0] * n
+        for f in state.groupBy("shard").agg(F.sum("rows").alias("r")).collect():
+            load[f["shard"]] = f["r"]
+        free = [max(0, room[j] + room[j] // 8 - load[j]) for j in range(n)]
+        is_open = F.get(F.array(*[F.lit(x > 0) for x in free]), F.col("shard"))
+        tie = F.xxhash64("grp", "shard", F.lit(turn))
+        best = held.groupBy("grp").agg(
+            F.max(F.struct(is_open.alias("open"), "r", tie.alias("tie"), "shard")).alias("best"),
+            F.count(F.lit(1)).alias("parts"),
         )
-        asking = state.join(wish.select("grp", F.col("best.shard").alias("wish")), "grp")
-        flows = asking.groupBy("shard", "wish").agg(F.sum("rows").alias("r")).collect()
-        load, asked = [0] * n, [[0] * n for _ in range(n)]
-        for f in flows:
-            load[f["shard"]] += f["r"]
+        stays = F.col("best.open") | (F.col("parts") == 1) | F.lit(not any(free))
+        elsewhere = _drawn(free, F.lit(turn), "grp", F.lit(n)) if any(free) else F.col("best.shard")
+        wish = best.select("grp", F.when(stays, F.col("best.shard")).otherwise(elsewhere).alias("wish"))
+        asking = state.join(wish, "grp")
+        asked = [[0] * n for _ in range(n)]
+        for f in asking.groupBy("shard", "wish").agg(F.sum("rows").alias("r")).collect():
             if f["shard"] != f["wish"]:
                 asked[f["shard"]][f["wish"]] += f["r"]
         share = [[0.0] * n for _ in range(n)]
         for j in range(n):
             into = sum(asked[i][j] for i in range(n))
-            free = max(0, room[j] - load[j])
             for i in range(n):
                 if asked[i][j]:
                     swap = min(asked[i][j], asked[j][i])
                     rest = asked[i][j] - swap
-                    part = free * asked[i][j] / into
+                    part = free[j] * asked[i][j] / into
                     share[i][j] = min(1.0, (swap + min(rest, part)) / asked[i][j])
-        if not any(map(any, share)):
+        if not any(map(any, asked)):
             break
         odds = F.array(*[F.array(*map(F.lit, row)) for row in share])
-        moves = _uniform(F.lit(turn), "grp", "cell") < F.get(F.get(odds, F.col("shard")), F.col("wish"))
+        moves = _uniform(F.lit(turn), "grp") < F.get(F.get(odds, F.col("shard")), F.col("wish"))
         following = frozen(
             asking.select(
                 "grp", "cell", "rows", F.when(moves, F.col("wish")).otherwise(F.col("shard")).alias("shard")
@@ -66,12 +90,26 @@ def propagate(cells: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFr
     return state
 
 
+def _fill(amount: int, gaps: list[int]) -> list[tuple[int, int]]:
+    """(shard, rows) by which ``amount`` rows fill as few gaps as they can, which are then less."""
+    out = []
+    while amount:
+        holds = [i for i, g in enumerate(gaps) if g >= amount]
+        i = min(holds, key=lambda i: gaps[i]) if holds else max(range(len(gaps)), key=lambda i: gaps[i])
+        take = min(amount, gaps[i])
+        out.append((i, take))
+        gaps[i] -= take
+        amount -= take
+    return out
+
+
 def assigned(docs: DataFrame, *keep: str, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``keep``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of each row of ``docs``.
 
     Rows with equal texts are linked. Each shard gets the same number of rows, at most one apart:
-    linked rows gather by :func:`propagate`, where one shard's linked rows stay within its quota,
-    then rows beyond a shard's quota, those without links first, fill the shards that lack some.
+    groups of more than one ``CELLS``-th of a quota, of which there are few, are placed whole by
+    the driver, the largest first; the others gather by :func:`propagate` in the room left. Groups
+    that no shard can hold then fill as few shards as they can, and rows without links the rest.
     Slots count from 0 without gaps in each shard. A null text has no bytes, its size is 1 and
     its checksum that of no bytes; null texts and empty ones are linked. Which of several
     identical rows gets which slot is left open. Texts are read once and never shuffled.
@@ -102,63 +140,85 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
 
 def placed(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """``rows`` (with ``grp`` and ``pick``, a hash that tells rows apart) with shard and slot."""
+    spark = rows.sparkSession
     total = rows.count()
     quota = [total // shards + (i < total % shards) for i in range(shards)]
     cell = F.pmod("pick", F.lit(CELLS)).cast("int")
-    pieces = rows.select("grp", cell.alias("cell")).groupBy("grp", "cell").agg(
-        F.count(F.lit(1)).alias("rows")
+    pieces = frozen(
+        rows.select("grp", cell.alias("cell")).groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("rows"))
     )
-    per_group = pieces.groupBy("grp").agg(F.sum("rows").alias("all"))
-    linked = pieces.join(per_group.filter("all > 1").select("grp"), "grp").select(
-        "grp", "cell", "rows", F.pmod(F.xxhash64("grp", "cell"), F.lit(shards)).cast("int").alias("shard")
+    per_group = frozen(pieces.groupBy("grp").agg(F.sum("rows").alias("all")).filter("all > 1"))
+    is_heavy = F.col("all") * CELLS > min(quota)
+    # at most about 2 * CELLS * shards
+    heavy = sorted(((r["all"], r["grp"]) for r in per_group.filter(is_heavy).collect()), reverse=True)
+    room, homes, split = list(quota), {}, []
+    for n, g in heavy:
+        fits = [i for i in range(shards) if room[i] >= n]
+        if fits:
+            homes[g] = min(fits, key=lambda i: room[i])
+            room[homes[g]] -= n
+        else:
+            homes[g] = 2 * shards + len(split)  # a home of its own, dealt to the gaps below
+            split.append(n)
+    for n in split:
+        _fill(n, room)
+    linked = pieces.join(per_group.filter(~is_heavy).select("grp"), "grp").select(
+        "grp", "cell", "rows", _drawn(room, "grp", "cell").alias("shard")
     )
     first = frozen(linked)
-    found = propagate(first, quota, rounds).select(
-        F.col("grp").alias("of_grp"), F.col("cell").alias("of_cell"), F.col("shard").alias("moved")
+    whole = _listed(spark, [{"g": g, "h": h} for g, h in homes.items()], "g long, h int").select(
+        F.col("g").alias("of_grp"),
+        F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("of_cell"),
+        F.col("h").alias("moved"),
+        F.lit(0).alias("class"),
+    )
+    found = propagate(first, room, rounds).select(
+        F.col("grp").alias("of_grp"),
+        F.col("cell").alias("of_cell"),
+        F.col("shard").alias("moved"),
+        F.lit(1).alias("class"),
     )
     runs = max(1, total // (shards * _RUN))
-    tied = F.col("moved").isNotNull()
+    # small groups are numbered as wholes, so what lies beyond a quota is whole groups
+    run = F.when(F.col("class") == 1, F.xxhash64("grp", F.lit(5))).otherwise(F.xxhash64("pick", F.lit(5)))
+    many = F.when(F.col("moved") >= 2 * shards, runs * shards).otherwise(runs)
     labelled = rows.join(
-        found, (F.col("grp") == F.col("of_grp")) & (cell == F.col("of_cell")), "left"
+        frozen(found.unionByName(whole)), (F.col("grp") == F.col("of_grp")) & (cell == F.col("of_cell")), "left"
     ).select(
         *rows.columns,
-        F.coalesce("moved", F.pmod("pick", F.lit(shards)).cast("int")).alias("home"),
-        # rows with links come first in a shard, so rows without are the first to leave it
-        F.when(tied, 0).otherwise(1).alias("free"),
-        F.pmod(F.xxhash64("pick", F.lit(5)), F.lit(runs)).alias("run"),
+        # rows without links have homes of their own, from which they fill gaps
+        F.coalesce("moved", F.pmod("pick", F.lit(shards)).cast("int") + shards).alias("home"),
+        F.coalesce("class", F.lit(2)).alias("class"),
+        F.pmod(run, many).alias("run"),
     )
-    within = Window.partitionBy("home", "free", "run").orderBy("pick", "text_crc32")
+    within = Window.partitionBy("home", "class", "run").orderBy("grp", "pick", "text_crc32")
     numbered = frozen(labelled.withColumn("nth", F.row_number().over(within) - 1))
-    before = Window.partitionBy("home").orderBy("free", "run").rowsBetween(
+    before = Window.partitionBy("home").orderBy("class", "run").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = (
-        numbered.groupBy("home", "free", "run")
+        numbered.groupBy("home", "class", "run")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("home", "free", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        .select("home", "class", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     )
     counts = {r["home"]: r["n"] for r in numbered.groupBy("home").agg(F.count("*").alias("n")).collect()}
-    held = [counts.get(i, 0) for i in range(shards)]
-    # what is beyond quota is numbered through, and so are the gaps; the two lines are as long
-    surplus, gaps, given, taken = [], [], 0, 0
-    for i in range(shards):
-        surplus.append(given)
-        given += max(0, held[i] - quota[i])
-        if held[i] < quota[i]:
-            gaps.append((taken, taken + quota[i] - held[i], i, held[i]))
-            taken += quota[i] - held[i]
-
-    def of(values: list[int]) -> Column:
-        return F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("home"))
-
+    held = [min(counts.get(i, 0), quota[i]) for i in range(shards)]
+    gaps = [quota[i] - held[i] for i in range(shards)]
+    # what is beyond a quota, then groups larger than one, then rows without links fill the gaps
+    dealt, used = [], list(held)
+    for home in [*range(shards), *range(2 * shards, 2 * shards + len(split)), *range(shards, 2 * shards)]:
+        low = held[home] if home < shards else 0
+        for i, n in _fill(counts.get(home, 0) - low, gaps):
+            dealt.append((home, low, low + n, i, used[i]))
+            used[i] += n
+            low += n
     at = F.col("start") + F.col("nth")
-    number = of(surplus) + at - of(quota)
     shard, slot = F.col("home"), at
-    for low, high, i, filled in gaps:
-        here = (at >= of(quota)) & (number >= low) & (number < high)
+    for home, low, high, i, begin in dealt:
+        here = (F.col("home") == home) & (at >= low) & (at < high)
         shard = F.when(here, F.lit(i)).otherwise(shard)
-        slot = F.when(here, number - low + filled).otherwise(slot)
-    return numbered.join(starts, ["home", "free", "run"]).select(
+        slot = F.when(here, at - low + begin).otherwise(slot)
+    return numbered.join(starts, ["home", "class", "run"]).select(
         *[c for c in rows.columns if c not in ("grp", "pick")],
         shard.alias("shard"),
         slot.cast("long").alias("slot"),

@@ -299,6 +299,28 @@ def test_a_group_larger_than_a_shard_is_split_evenly(spark):
     assert sorted(r["count"] for r in got) == [125] * 7 + [126]
 
 
+def test_groups_that_fit_are_whole_beside_a_hot_third(spark):
+    n = 30_000
+    text = F.when(F.col("id") < n // 3, F.lit("hot")).when(
+        F.col("id") < n * 8 // 15, F.concat(F.lit("pair "), F.floor(F.col("id") / 2).cast("string"))
+    ).otherwise(F.concat(F.lit("alone "), F.col("id").cast("string")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = shards.assigned(docs, "doc_id").join(docs, "doc_id")
+    by_text = got.groupBy("text").agg(F.countDistinct("shard").alias("n"), F.count("*").alias("rows"))
+    spread = {r["text"]: r["n"] for r in by_text.filter("rows > 1").collect()}
+    assert spread.pop("hot") == 6
+    assert len(spread) == 3_000 and set(spread.values()) == {1}
+    sizes = got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m"))
+    assert {(r["n"], r["d"], r["m"]) for r in sizes.collect()} == {(n // 16, n // 16, n // 16 - 1)}
+
+
+def test_groups_are_whole_where_all_rows_are_linked(spark):
+    docs = spark.range(8_000).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 2).cast("string").alias("text"))
+    got = shards.assigned(docs, "doc_id").join(docs, "doc_id")
+    cut = got.groupBy("text").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count()
+    assert cut <= 32
+
+
 def test_decontamination(spark, tables):
     got = queries.op6_decontamination(spark, tables)
     want = Counter(brute.decontamination([(d, t) for d, t, *_ in corpus()], items()))
