@@ -122,7 +122,8 @@ def assigned(docs: DataFrame, *keep: str, shards: int = SHARDS, rounds: int = RO
             (F.octet_length(body) + 1).cast("long").alias("size"),
             crc.alias("text_crc32"),
             F.xxhash64(body, F.octet_length(body), crc).alias("grp"),
-            F.xxhash64("doc_id", crc).alias("pick"),
+            # by place, as repeated rows must differ too; it is stored here and drawn only once
+            F.xxhash64("doc_id", crc, F.monotonically_increasing_id()).alias("pick"),
         )
     )
     out = placed(rows, shards, rounds)

@@ -321,6 +321,17 @@ def test_groups_are_whole_where_all_rows_are_linked(spark):
     assert cut <= 32
 
 
+def test_repeated_rows_are_told_apart_in_sharding(spark, monkeypatch):
+    picks, placed = [], shards.placed
+    monkeypatch.setattr(
+        shards, "placed", lambda rows, *a: picks.append(rows.select("pick").distinct().count()) or placed(rows, *a)
+    )
+    docs = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    got = shards.assigned(docs, "doc_id", shards=8)
+    assert got.select("shard", "slot").distinct().count() == 900
+    assert picks == [900]
+
+
 def test_decontamination(spark, tables):
     got = queries.op6_decontamination(spark, tables)
     want = Counter(brute.decontamination([(d, t) for d, t, *_ in corpus()], items()))
