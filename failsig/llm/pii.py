@@ -22,10 +22,30 @@ KINDS = {
 # a text without these has no match
 _NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+"}
 
-#: what a pattern may extract: runs of at least five characters with a digit among them
-CANDIDATE = r"(?:(?<![A-Za-z0-9@._+-])|\G)(?=[A-Za-z@._+-]*+[0-9])[A-Za-z0-9@._+-]{5,}+"
+_APART = "(?<![A-Za-z0-9@._+-])"
+_ENDS = "(?![A-Za-z0-9@_]|[.+-][A-Za-z0-9])"
+_MORE = "(?![A-Za-z0-9@_]|[.+][A-Za-z0-9]|-[A-Za-z])"  # a hyphen may lead to the next group
+_GROUP = r"(?:\([0-9]{1,5}\)|[0-9]{2,9}+)"
+_TOKEN = "[A-Za-z0-9]++(?:[@._+-]++[A-Za-z0-9]++)*+"
+#: what a pattern may extract, at one place the first of: groups of digits with spaces, brackets or
+#: slashes between them; groups of four as in an IBAN; runs of at least five characters with a digit
+#: among them; shorter ones with a digit; after a label and its colon, tokens without one
+CANDIDATE = "|".join(
+    [
+        rf"{_APART}{_GROUP}(?:[\x20/-]{{0,3}}(?<![0-9]){_GROUP}{_MORE})++",
+        rf"{_APART}[A-Z]{{2}}[0-9]{{2}}(?:\x20[A-Z0-9]{{4}}{_ENDS}){{2,7}}+(?:\x20[0-9]{{1,4}}{_ENDS})?+",
+        rf"(?:{_APART}|\G)(?=[A-Za-z@._+-]*+[0-9])[A-Za-z0-9@._+-]{{5,}}+",
+        rf"(?<![A-Za-z0-9@._+])(?=[A-Za-z@._+-]*+[0-9]){_TOKEN}",
+        rf"(?<=[A-Za-z0-9][:=#]\x20{{0,2}}){_TOKEN}",
+    ]
+)
+#: candidates that are taken after a sure pattern but make no pattern sure
+_WEAK = "^.{0,4}$|^[^0-9]*$"
+#: what stands between the members of a list
+_LIST = r"^\s*(?:(?:[,;/&|]|and\s|or\s)\s*)*$"
 CONTEXT = "context"  # the kind of what only a pattern found
-ROUNDS = 3
+ROUNDS = 3  # at least; more follow while they change anything
+RISE = 0.01  # of a score by which a round still changes something
 SUPPORT = 5  # different entities that a pattern must have met
 SURE = 0.5  # of all places of a pattern's word that an entity follows
 
@@ -83,12 +103,14 @@ def entities(docs: DataFrame) -> DataFrame:
     """One row for each seed entity and candidate, and one with null kind for each document.
 
     ``rid`` tells documents apart, ``start`` and ``end`` count code points, ``left`` is the word
-    before. Candidates that overlap a seed entity are left out. Only documents with digits or an
-    at sign bring more than one row to the shuffle by ``rid``.
+    before; members of a list have that of its first. ``votes`` tells whether the place counts for
+    its word: the first of a list does, a candidate that is short or has no digit doesn't.
+    Candidates that overlap a seed entity are left out. Only documents with digits, an at sign or
+    a label bring more than one row to the shuffle by ``rid``.
     """
     text = F.col("body")
     parts = [_matches(text, k, p, _NEEDS[k]) for k, p in KINDS.items()]
-    parts.append(_matches(text, CONTEXT, CANDIDATE, "[0-9]"))
+    parts.append(_matches(text, CONTEXT, CANDIDATE, "[0-9]|[A-Za-z][:=#]"))
     element = "struct<kind: string, k: int, gap: int, size: int, value: string, near: string>"
     none = F.array().cast(f"array<{element}>")
     alone = F.array(F.lit(None).cast(element))
@@ -102,8 +124,15 @@ def entities(docs: DataFrame) -> DataFrame:
     )
     upto = Window.partitionBy("rid", "kind").orderBy("k")
     end = F.sum(F.col("gap") + F.col("size")).over(upto)
+    before = F.try_element_at(
+        F.array_remove(F.split(lower_ascii(F.col("near")), NON_WORD), ""), F.lit(-1)
+    )
+    heads = (F.col("k") == 0) | (F.col("gap") > _NEAR) | ~F.col("near").rlike(_LIST)
+    weak = (F.col("kind") == CONTEXT) & F.col("value").rlike(_WEAK)
     placed = (
         rows.withColumn("end", end)
+        .withColumn("left", F.last(F.when(heads, F.struct(before.alias("w"))), True).over(upto)["w"])
+        .withColumn("votes", heads & ~weak)
         .withColumn("start", F.col("end") - F.col("size"))
         .filter(F.col("kind").isNull() | _valid())
     )
@@ -111,9 +140,6 @@ def entities(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("rid").orderBy("start", "end", "kind")
     reached = F.max(F.when(seed, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     follows = F.min(F.when(seed, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
-    left = F.try_element_at(
-        F.array_remove(F.split(lower_ascii(F.col("near")), NON_WORD), ""), F.lit(-1)
-    )
     return (
         placed.withColumn("reached", reached)
         .withColumn("follows", follows)
@@ -124,7 +150,7 @@ def entities(docs: DataFrame) -> DataFrame:
                 & F.coalesce(F.col("follows") >= F.col("end"), F.lit(True))
             )
         )
-        .select("rid", "doc_id", "kind", "start", "end", left.alias("left"), F.lower("value").alias("value"))
+        .select("rid", "doc_id", "kind", "start", "end", "left", "votes", F.lower("value").alias("value"))
     )
 
 
@@ -135,11 +161,13 @@ def patterns(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFr
     that met, with how often. Seeds have score 1. In each round a pattern's score is the sum of
     its entities' scores over all places where its word stands in the corpus, so that frequent
     words don't become patterns; it counts only if it met ``SUPPORT`` different entities. An
-    entity that is no seed gets the score that at least one of its patterns is right. Edges are
-    added up before they are joined, so a hot word or entity is one row for each partner.
+    entity that is no seed gets the score that at least one of its patterns is right. Scores only
+    rise, so after ``rounds`` rounds it goes on until a round makes no pattern and no entity sure
+    that wasn't, and raises no score by ``RISE``. Edges are added up before they are joined, so a hot word or entity is one row for
+    each partner.
     """
     edges = frozen(
-        found.filter("kind is not null and left is not null")
+        found.filter("kind is not null and left is not null and votes")
         .groupBy("left", "value")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -153,9 +181,15 @@ def patterns(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFr
     usable = frozen(words.join(counted, F.col("left") == F.col("token")).select("left", "seen"))
     graph = frozen(edges.join(usable, "left"))
     seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    scores = frozen(seeds.select("value", "seed", F.col("seed").alias("score")))
-    for _ in range(rounds):
-        rated = _rated(graph, scores)
+    scores = frozen(seeds.select("value", "seed", F.col("seed").alias("score"), F.lit(0.0).alias("rise")))
+    turn, before = 0, None
+    while True:
+        rated = frozen(_rated(graph, scores))
+        (sure,) = rated.agg(F.count_if(F.col("sure") >= SURE)).first()
+        known, rise = scores.agg(F.count_if(F.col("score") >= SURE), F.max("rise")).first()
+        if turn >= rounds and (sure, known) == before and (rise or 0) < RISE:
+            return rated.filter(F.col("sure") >= SURE)
+        turn, before = turn + 1, (sure, known)
         miss = F.log(F.greatest(1 - F.col("sure"), F.lit(1e-9)))
         reached = (
             graph.select("left", "value")
@@ -164,13 +198,12 @@ def patterns(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFr
             .agg((1 - F.exp(F.sum(miss))).alias("reached"))
         )
         following = frozen(
-            scores.join(reached, "value", "left").select(
-                "value", "seed", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("score")
-            )
+            scores.join(reached, "value", "left")
+            .withColumn("now", F.greatest("seed", F.coalesce("reached", F.lit(0.0))))
+            .select("value", "seed", F.col("now").alias("score"), (F.col("now") - F.col("score")).alias("rise"))
         )
-        release(scores)
+        release(scores, rated)
         scores = following
-    return _rated(graph, scores).filter(F.col("sure") >= SURE)
 
 
 def _rated(graph: DataFrame, scores: DataFrame) -> DataFrame:
@@ -190,7 +223,8 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id`` and ``spans`` (start, place of the kind, kind, end; in order) of each row.
 
     Seed spans come from the expressions, leftmost and non-overlapping per kind, those that fail
-    their check dropped. Candidates after a sure pattern's word are added with kind "context".
+    their check dropped. Candidates after a sure pattern's word, and those that continue a list
+    there, are added with kind "context".
     Null and empty texts have no spans; repeated rows stay.
     """
     found = frozen(entities(docs))

@@ -436,6 +436,35 @@ def test_contexts_find_what_no_expression_does(spark):
     assert [s["kind"] for s in found[3]] == ["ip"]
 
 
+def test_contexts_find_identifiers_of_every_form(spark):
+    rows = [(i, f"line {i}: phone: +1 555 123 45{i:02d}. account: 10.0.{i}.7, user: u{i}@x.org end") for i in range(40)]
+    forms = [
+        ("call phone: 030 123 4567 today", ["030 123 4567"]),
+        ("call phone: (555) 123-4567 today", ["(555) 123-4567"]),
+        ("account: DE89 3704 0044 0532 0130 00 is mine", ["DE89 3704 0044 0532 0130 00"]),
+        ("user: jsmith.", ["jsmith"]),
+        ("my account: A7 here", ["A7"]),
+        ("account: AB-00012-X, AB-00013-X and AB-00014-X", ["AB-00012-X", "AB-00013-X", "AB-00014-X"]),
+        ("account 12345 was opened; note: nothing, version 20301", ["12345"]),
+    ]
+    rows += [(100 + i, text) for i, (text, _) in enumerate(forms)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    for i, (text, want) in enumerate(forms):
+        assert [text[s["start"] : s["end"]] for s in found[100 + i]] == want
+
+
+def test_contexts_are_followed_to_the_end_of_a_chain(spark):
+    # the pattern of each link is known only by the identifiers it shares with the link before
+    rows = [(i, f"alpha: 10.0.0.{i} end") for i in range(6)]
+    names = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"]
+    for k, (a, b) in enumerate(zip(names, names[1:])):
+        rows += [(i, f"{a}: K{k}-{i:05d}-X end {b}: K{k}-{i:05d}-X end") for i in range(6)]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = pii.personal_data(docs).filter("doc_id >= 36").collect()
+    assert [len(r["spans"]) for r in found] == [2] * 6
+
+
 def test_clashing_columns(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for c in ("rid", "row", "size", "fp", "score", "of_source", "w", "shard", "body", "copies"):
