@@ -247,8 +247,11 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     parts = wanted.groupBy("rid").agg(
         F.collect_list(F.struct("gram", "cls", "classes", "s", "run", "at")).alias("parts")
     )
+    # repeated rows share their rid; one of them brings the bytes, and tasks combine before the shuffle
     pieces = frozen(
-        docs.join(parts, "rid")
+        docs.select("rid", "body")
+        .dropDuplicates(["rid"])
+        .join(parts, "rid")
         .select("body", "parts")
         .mapInArrow(cut, "gram long, cls long, classes long, at int, bytes binary")
     )

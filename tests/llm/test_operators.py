@@ -275,6 +275,26 @@ def test_repeats_of_short_strings(spark, monkeypatch, large):
         assert hashlib.sha256(row["kept"]).hexdigest() == row["kept_sha256"]
 
 
+def test_repeated_rows_bring_their_bytes_once(spark, monkeypatch):
+    seen, frozen = [], suffix.frozen
+
+    def watched(df):
+        out = frozen(df)
+        if "bytes" in out.columns:
+            seen.append((out.count(), out.select("gram", "cls").distinct().count()))
+        return out
+
+    monkeypatch.setattr(suffix, "frozen", watched)
+    shared = "the passage both of them hold "
+    rows = [(None, "abc" + shared + "xyz")] * 50 + [(1, "uvw" + shared + "rst")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix.removed(docs, size=20, gram=8)
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert _rows(got, *columns) == Counter(brute.repeats(rows, 20))
+    ((pieces, classes),) = seen
+    assert pieces == classes > 1
+
+
 def test_shards_are_even_and_keep_copies_together(spark, tables):
     got = queries.op5_sharding(spark, tables).collect()
     text = {(d, zlib.crc32((t or "").encode())): t for d, t, *_ in corpus()}
