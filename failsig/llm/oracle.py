@@ -89,3 +89,72 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed
        sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN pieces USING (rid)
 """
+
+ORACLE["op12_merkle"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, lang, n_chars, text,
+         list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                     lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]),
+                                           lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM (SELECT * REPLACE (n_chars::BIGINT AS n_chars) FROM documents)),
+cells AS (
+  SELECT rid, doc_id, source, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS head, text,
+         CASE WHEN (xor(crc, 4294967295) & 1) = 0 THEN replace(text, chr(10), '') ELSE text END AS seen
+  FROM d),
+hashed AS MATERIALIZED (
+  SELECT rid, doc_id, source,
+         sha256(array_to_string(list_transform(list_concat(head, [text]),
+                lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v)::VARCHAR || ':' || v END), '')) AS leaf,
+         sha256(array_to_string(list_transform(list_concat(head, [seen]),
+                lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v)::VARCHAR || ':' || v END), '')) AS now
+  FROM cells),
+groups AS MATERIALIZED (
+  SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM (SELECT source, count(*) AS n FROM hashed GROUP BY source)),
+placed AS MATERIALIZED (
+  SELECT rid, doc_id, leaf, now, tree, n,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM hashed JOIN groups ON hashed.source IS NOT DISTINCT FROM groups.source),
+below AS (
+  SELECT tree, 0 AS level, i AS idx, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS many FROM below)
+  WHERE many > 1 GROUP BY tree, level, idx // 3),
+subroots AS MATERIALIZED (
+  SELECT tree, arg_max(h, level) AS subroot, max(level) AS height FROM below GROUP BY tree),
+above AS (
+  SELECT 0 AS level, tree AS idx, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER () AS many FROM above)
+  WHERE many > 1 GROUP BY level, idx // 3),
+peak AS MATERIALIZED (SELECT arg_max(h, level) AS root, max(level) AS height FROM above),
+nodes AS MATERIALIZED (
+  SELECT tree, level, idx, idx // 3 AS run, h FROM below
+  UNION ALL SELECT -1, level, idx, idx // 3, h FROM above),
+steps AS MATERIALIZED (
+  SELECT rid, level AS s, tree, level, i // (3 ** level)::BIGINT AS idx
+  FROM (SELECT rid, tree, i, unnest(range(0, height)) AS level FROM placed JOIN subroots USING (tree))
+  UNION ALL
+  SELECT rid, low + level, -1, level, tree // (3 ** level)::BIGINT
+  FROM (SELECT rid, tree, subroots.height AS low, unnest(range(0, peak.height)) AS level
+        FROM placed JOIN subroots USING (tree), peak)),
+proofs AS (
+  SELECT rid, string_agg(h, '' ORDER BY s, nodes.idx) AS proof
+  FROM steps JOIN nodes ON nodes.tree = steps.tree AND nodes.level = steps.level
+       AND nodes.run = steps.idx // 3 AND nodes.idx <> steps.idx
+  GROUP BY rid),
+folded AS (
+  SELECT rid, 0::BIGINT AS s, now AS h FROM placed
+  UNION ALL
+  SELECT folded.rid, folded.s + 1,
+         sha256(string_agg(CASE WHEN nodes.idx = steps.idx THEN folded.h ELSE nodes.h END, '' ORDER BY nodes.idx))
+  FROM folded JOIN steps ON steps.rid = folded.rid AND steps.s = folded.s
+       JOIN nodes ON nodes.tree = steps.tree AND nodes.level = steps.level AND nodes.run = steps.idx // 3
+  GROUP BY folded.rid, folded.s),
+ends AS (SELECT rid, arg_max(h, s) AS folded_root FROM folded GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM placed JOIN subroots USING (tree) JOIN ends USING (rid) LEFT JOIN proofs USING (rid), peak
+"""

@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, gam, langid, license, mixing, pii, rules, shards, simhash, suffix
+from . import (
+    decontam,
+    gam,
+    langid,
+    license,
+    merkle,
+    mixing,
+    pieces,
+    pii,
+    rules,
+    shards,
+    simhash,
+    suffix,
+    whiten,
+)
 from .common import fold_of, table
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -147,3 +164,33 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten.whitened(table(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return rows.select("row.vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        "c.whitened",
+        "c.explained",
+        "identity_error",
+    )
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.proved(table(spark, sf_dir, "documents"), present={"text": text}).withColumnRenamed(
+        "key", "doc_id"
+    )
+
+
+@query
+def op13_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    rows = pieces.encoded(table(spark, sf_dir, "documents"), model or MODEL)
+    return rows.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
