@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -18,7 +18,9 @@ from .common import ship, utf8
 
 SPACE = "▁"  # stands for a space inside pieces
 UNKNOWN_SURFACE = " ⁇ "
-WORDS_KEPT = 200_000  # ids of so many different words are remembered by a task
+WORDS_KEPT = 200_000  # ids of at least so many different words are remembered by a task
+TOGETHER = 4_000_000  # characters of texts whose new words are looked up together
+LONGEST_KEPT = 64  # characters of a word that is remembered
 PAIRS_KEPT = 1_000_000  # and whether about so many pairs of tokens can stand together
 
 
@@ -84,7 +86,10 @@ class Codec:
         # a border that no piece crosses cuts the text, so that words can be remembered
         crossed = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.words = re.compile(".+" if crossed else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
+        self.longest = max(map(len, self.ids))
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.together = {pair for p in self.ids for pair in zip(p, p[1:])}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.histories: dict[str, tuple] = {}  # of pieces and characters
         # what each id adds to a decoded text; bytes, so that byte pieces in a row join by themselves
@@ -150,51 +155,115 @@ class Codec:
             else:
                 return True
 
-    def tokens(self, word: str) -> list[str]:
-        """The tokens of a word of any length, in time that grows with the length alone."""
-        last = [""]  # of each prefix settled so far
+    def extend(self, last: list[str], word: str) -> None:
+        """Complete ``last``, which has the last token of some first prefixes of ``word``, so that
+        it has that of all. Takes time that grows with the length of the rest alone."""
         pairs = self.pairs
         if len(pairs) >= PAIRS_KEPT:
             pairs.clear()
-        for at, (token, size) in self.automaton.iter(word):
-            settled = len(last)
+        settled = len(last)
+        for at, (token, size) in self.automaton.iter(word, max(settled - self.longest, 0)):
             if at < settled - 1:
                 continue
             if at >= settled:  # no piece ended at these places: characters of their own
                 last += word[settled - 1 : at]
+                settled = at + 1
             pair = last[at + 1 - size], token
             fit = pairs.get(pair)
             if fit is None:
                 fit = pairs[pair] = self.fits(*pair)
             if fit:
                 last.append(token)
-        last += word[len(last) - 1 :]
-        out, end = [], len(word)
+                settled += 1
+        last += word[settled - 1 :]
+
+    def tokens(self, word: str) -> list[str]:
+        """The tokens of a word of any length."""
+        last = [""]
+        self.extend(last, word)
+        return self._read(last)
+
+    def _read(self, last: list[str]) -> list[str]:
+        out, end = [], len(last) - 1
         while end:
             out.append(last[end])
             end -= len(last[end])
         return out[::-1]
 
-    def _word(self, word: str) -> bytes:
-        packed = self.known.get(word)
-        if packed is None:
-            ids = []
-            for token in self.tokens(word):
-                i = self.ids.get(token)
-                ids += [i] if i is not None else [self.byte_id[b] for b in token.encode()]
-            packed = np.array(ids, "<u4").tobytes()
-            if len(word) <= 64:
-                if len(self.known) >= WORDS_KEPT:
-                    self.known.clear()
-                self.known[word] = packed
-        return packed
+    def _packed(self, tokens: list[str]) -> bytes:
+        ids = []
+        for token in tokens:
+            i = self.ids.get(token)
+            if i is None:
+                ids += [self.byte_id[b] for b in token.encode()]
+            else:
+                ids.append(i)
+        return np.array(ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """All ids with begin and end, as little-endian unsigned 32-bit integers."""
-        whole = SPACE + text.replace(" ", SPACE) if text else ""
-        body = b"".join(map(self._word, self.words.findall(whole)))
+    def _cut(self, word: str) -> list[str]:
+        """A word cut wherever no piece has the two characters next to each other, so that no merge
+        can join them; its parts, such as a stem and a full stop, are often known."""
+        together = self.together
+        cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in together]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+
+    def _learn(self, words: set[str]) -> None:
+        """Add the ids of new words to the known ones. Words in order share the table of the
+        prefix that they have in common with the word before."""
+        known, old = self.known, self.old
+        parts = {}
+        for word in words:
+            if word in old:
+                known[word] = old[word]
+            else:
+                parts[word] = self._cut(word)
+        table, before = [""], ""
+        for part in sorted({p for cut in parts.values() for p in cut}):
+            if part in old:
+                known[part] = old[part]
+            if part in known:
+                continue
+            same = 0
+            for x, y in zip(before, part):
+                if x != y:
+                    break
+                same += 1
+            del table[same + 1 :]
+            self.extend(table, part)
+            known[part] = self._packed(self._read(table))
+            before = part
+        for word, cut in parts.items():
+            if len(cut) > 1:
+                known[word] = b"".join([known[p] for p in cut])
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """All ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
         ends = np.array([self.bos, self.eos], "<u4").tobytes()
-        return ends[:4] + body + ends[4:]
+        held: list[list[str]] = []
+        chars = 0
+
+        def flush() -> Iterator[bytes]:
+            words = {w for each in held for w in each}
+            self._learn(words.difference(self.known))
+            get = self.known.__getitem__
+            for each in held:
+                yield ends[:4] + b"".join(map(get, each)) + ends[4:]
+            if len(self.known) >= WORDS_KEPT:
+                # words met again among as many new ones come back from the old
+                self.old = {w: i for w, i in self.known.items() if len(w) <= LONGEST_KEPT}
+                self.known = {}
+
+        for text in texts:
+            whole = SPACE + text.replace(" ", SPACE) if text else ""
+            held.append(self.words.findall(whole))
+            chars += len(whole)
+            if chars >= TOGETHER:
+                yield from flush()
+                held, chars = [], 0
+        yield from flush()
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the space put before it goes, bytes that aren't UTF-8 become U+FFFD."""
@@ -236,7 +305,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     def convert(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(words)
         for batch in batches:
-            ids = [codec.encode(t.decode("utf-8", "replace")) for t in batch.to_pylist()]
+            ids = list(codec.encode_all(t.decode("utf-8", "replace") for t in batch.to_pylist()))
             texts = [codec.decode(i) for i in ids]
             yield pa.StructArray.from_arrays(
                 [
