@@ -216,14 +216,22 @@ def fold(occ: DataFrame, texts: DataFrame, batch: int = 0) -> Patterns:
 def merge(old: Patterns, new: Patterns) -> Patterns:
     """JN-5, AGG-9: fold ``new`` into ``old``.
 
-    Title, category and links come from the older row; counts add up; the rest is a minimum,
-    a maximum or the ten newest. The rows of both sides share one shuffle per table.
+    The rows of both sides share one shuffle per table.
     """
     both = {
         name: table.unionByName(new.tables()[name]) for name, table in old.tables().items()
     }
+    return folded(Patterns(**both))
+
+
+def folded(parts: Patterns) -> Patterns:
+    """AGG-9: tables with the rows of any number of batches, as those of one.
+
+    Title, category and links come from the oldest row; counts add up; the rest is a minimum,
+    a maximum or the ten newest. The order of the rows doesn't matter.
+    """
     core = (
-        both["core"]
+        parts.core
         .groupBy("signature_hash")
         .agg(
             F.sum("count").alias("count"),
@@ -235,14 +243,14 @@ def merge(old: Patterns, new: Patterns) -> Patterns:
     )
     return Patterns(
         core=core.select(*_CORE),
-        tests=both["tests"]
+        tests=parts.tests
         .groupBy("signature_hash", "test_name")
         .agg(F.min("ord").alias("ord")),
-        files=both["files"].groupBy("signature_hash", "file").agg(F.min("ord").alias("ord")),
-        axes=both["axes"]
+        files=parts.files.groupBy("signature_hash", "file").agg(F.min("ord").alias("ord")),
+        axes=parts.axes
         .groupBy("signature_hash", "axis", "value")
         .agg(F.sum("n").alias("n")),
-        recent=_latest(both["recent"]),
+        recent=_latest(parts.recent),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import categorize, fold, index, links, report
 from ..operators.scale import frozen, release, with_position
 from ..sources.documents import ledger_of, patterns_of, write_documents
-from ..sources.knowledge_base import KnowledgeBase
+from ..sources.knowledge_base import DELTAS, KnowledgeBase
 from ..sources.schemas import FAILURES, PATTERN_TABLES
 from .failures import parse_without_suite, record_failures, run_artifacts, runs_covered
 
@@ -29,35 +30,53 @@ def ingest(
     ``runs`` are the runs the batch covers, with or without failures; by default those with
     failures. Failures and new
     occurrences are stored before they are used again, so logs are parsed once and every table
-    is folded from columns on disk. A stream batch that is in already changes nothing.
+    is folded from columns on disk. What is written grows with the batch, not with what the
+    knowledge base holds; every ``DELTAS`` batches it is compacted. A stream batch that is in
+    already changes nothing. A job that counted one of the batch's occurrences meanwhile is
+    noticed before the commit, and the batch folded again without it.
     ``skipped`` are logs that could not be read. ``pending`` are records that wait for their
     artifact, in place of those that waited before.
     """
     if batch_id >= 0 and kb.has_batch(source, batch_id):
         return None
-    known = kb.patterns()
-    version = kb.next_version()
-    stored = kb.write("failures", version, failures)
-    # runs have ascending numbers: the range of the batch skips the files of other times
-    low, high = stored.agg(F.min("run_id"), F.max("run_id")).first()
-    ledger = kb.grown("occurrences").filter(F.col("run_id").between(low, high))
-    occ = kb.write(
-        "occurrences",
-        version,
-        fold.unseen(fold.occurrences(stored), ledger, stored.select("run_id").distinct()),
-    )
+    state = kb.state()
+    data = kb.new_data(state)
+    stored = kb.write("failures", data, failures)
     covered = stored if runs is None else runs
-    kb.write("runs_seen", version, covered.select("run_id").distinct())
+    kb.write("runs_seen", data, covered.select("run_id").distinct())
     if skipped is not None:
-        kb.write("skipped", version, skipped)
-    names = list(PATTERN_TABLES)
+        kb.write("skipped", data, skipped)
+    bases = []
     if pending is not None:
-        kb.write_pending(version, pending)
-        names.append("pending")
-    merged = fold.merge(known, fold.fold(occ, fold.signatures(stored), batch=version))
-    for name, table in merged.tables().items():
-        kb.write(name, version, table)
-    kb.commit(version, names, True, source, batch_id)
+        kb.write_pending(data, pending)
+        bases.append("pending")
+    # runs have ascending numbers: the range of the batch skips the files of other times
+    low, high = stored.agg(F.min("run_id"), F.max("run_id")).first()
+    found = frozen(fold.occurrences(stored))
+    batch_runs = stored.select("run_id").distinct()
+
+    def overlap(others: list[int]) -> bool:
+        """Whether jobs that came in between counted an occurrence of this batch."""
+        theirs = reduce(DataFrame.unionByName, [kb.read_data("occurrences", d) for d in others])
+        return not found.join(theirs.select(*fold.KEY), list(fold.KEY), "left_semi").isEmpty()
+
+    while True:
+        known = kb.patterns(state)
+        ledger = kb.grown("occurrences").filter(F.col("run_id").between(low, high))
+        occ = kb.write("occurrences", data, fold.unseen(found, ledger, batch_runs))
+        delta = fold.fold(occ, fold.signatures(stored), batch=state.version + 1)
+        for name, table in delta.tables().items():
+            kb.write(name, data, table)
+        if kb.commit(
+            state, data, list(PATTERN_TABLES), bases, True, source, batch_id, conflict=overlap
+        ):
+            break
+        if batch_id >= 0 and kb.has_batch(source, batch_id):
+            return None
+        state = kb.state()
+    release(found)
+    if kb.deltas() >= DELTAS:
+        kb.compact()
     return index.ingest_stats(stored, known.core)
 
 
@@ -107,9 +126,12 @@ def ingest_logs(
 
 def link(kb: KnowledgeBase, markers: DataFrame) -> None:
     """JN-1, JN-2: write the issues of skip markers to the patterns in the same files."""
-    patterns = kb.patterns()
-    issues = links.pattern_issues(patterns.files, markers)
-    kb.replace_patterns(patterns.with_core(links.link(patterns.core, issues)), ["core"])
+
+    def linked(patterns: fold.Patterns) -> fold.Patterns:
+        issues = links.pattern_issues(patterns.files, markers)
+        return patterns.with_core(links.link(patterns.core, issues))
+
+    kb.replace_patterns(linked, ["core"])
 
 
 def analyze(
@@ -124,14 +146,13 @@ def analyze(
     """
     if answer is None:
         return
-    patterns = kb.patterns()
-    version = kb.next_version()
-    path = f"{kb.root}/replies/version={version}"
-    replies = categorize.ask(categorize.prompts(patterns, force), answer, tasks)
+    state = kb.state()
+    path = f"{kb.root}/replies/version={kb.new_data(state)}"
+    replies = categorize.ask(categorize.prompts(kb.patterns(state), force), answer, tasks)
     replies.write.mode("overwrite").parquet(path)
     usable = categorize.usable_replies(kb.spark.read.schema(replies.schema).parquet(path))
     kb.replace_patterns(
-        patterns.with_core(categorize.apply_replies(patterns.core, usable)), ["core"]
+        lambda patterns: patterns.with_core(categorize.apply_replies(patterns.core, usable)), ["core"]
     )
 
 
@@ -177,14 +198,17 @@ def import_documents(kb: KnowledgeBase, docs: DataFrame) -> None:
     Documents name only the last runs of a pattern, so they cannot be told apart from
     occurrences that are in already: the knowledge base must be empty.
     """
-    version = kb.next_version()
-    if version > 1:
+    state = kb.state()
+    if state.version:
         raise ValueError(f"{kb.root} is not empty")
+    data = kb.new_data(state)
     ledger = ledger_of(docs)
-    kb.write("failures", version, kb.read_version("failures", 0))
-    kb.write("occurrences", version, ledger)
-    kb.write("runs_seen", version, ledger.select(F.col("run_id")).distinct())
-    merged = fold.merge(kb.patterns(), patterns_of(docs))
-    for name, table in merged.tables().items():
-        kb.write(name, version, table)
-    kb.commit(version, list(PATTERN_TABLES), True)
+    kb.write("failures", data, kb.spark.createDataFrame([], FAILURES))
+    kb.write("occurrences", data, ledger)
+    kb.write("runs_seen", data, ledger.select("run_id").distinct())
+    for name, table in fold.folded(patterns_of(docs)).tables().items():
+        kb.write(name, data, table)
+    if not kb.commit(
+        state, data, list(PATTERN_TABLES), appended=True, conflict=lambda others: True
+    ):
+        raise ValueError(f"{kb.root} is no longer empty")

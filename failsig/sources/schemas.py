@@ -51,9 +51,11 @@ PATTERN_TABLES = {
 }
 RUNS_SEEN = "run_id bigint"
 SKIPPED = "run_id bigint, artifact_id bigint, filename string, error string"
+# ``data`` names the folders a commit wrote; ``tables`` has the folders that make up each pattern
+# table from this commit on, the first of them the base and the others deltas.
 COMMITS = (
-    "version bigint, source string, batch_id bigint, appended boolean,"
-    " tables map<string,bigint>"
+    "version bigint, source string, batch_id bigint, appended boolean, data bigint,"
+    " tables map<string,array<bigint>>"
 )
 
 # One JSON document per pattern, or several where its lists are long.
