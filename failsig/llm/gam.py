@@ -205,7 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on about ``sample`` labelled rows whose fold is not 0, chosen by a hash of the id.
 
     Null ids and null labels are left out; an id with several labels counts with its largest.
-    The sampled labels are at most a few more than ``sample`` rows, so they are broadcast.
+    The sampled labels are at most a few more than ``sample`` rows, so they are broadcast. Where
+    ids have several rows, about ``sample`` of the rows are drawn by a hash of id and text, and
+    repeated rows count once, so the driver never holds more than that.
     """
     usable = (
         labels.filter("doc_id is not null and quality is not null")
@@ -221,10 +223,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
+    many = docs.select("doc_id").join(F.broadcast(part), "doc_id").count()
+    row_share = min(1.0, sample / max(many, 1))
     rows = (
         docs.select("doc_id", utf8().alias("body"))
         .join(F.broadcast(part), "doc_id")
-        .select("quality", F.arrow_udf(run, "array<double>")("body").alias("x"))
+        .withColumn("draw", F.xxhash64(F.lit("row"), "doc_id", "body"))
+        .filter(F.pmod("draw", F.lit(1_000_000)) < int(row_share * 1_000_000))
+        .select("quality", "draw", F.arrow_udf(run, "array<double>")("body").alias("x"))
+        .dropDuplicates(["quality", "draw"])
         .toPandas()
     )
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))

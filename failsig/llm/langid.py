@@ -139,12 +139,16 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Fit on about ``per_lang`` documents of each language, chosen by a hash of the id.
+    """Fit on about ``per_lang`` documents of each language, chosen by a hash of id and text.
 
-    Only text and non-null lang of documents outside fold 1 are read.
+    Only text and non-null lang of documents outside fold 1 are read. Rows that share an id, or
+    have none, are drawn one by one, and repeated rows count once, so the driver never holds more
+    than the sample.
     """
     usable = docs.filter(F.col("lang").isNotNull() & (fold_of(FOLDS) != 1)).select(
-        F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("draw")
+        F.col("lang").cast("string").alias("lang"),
+        "text",
+        F.xxhash64("doc_id", text_of()).alias("draw"),
     )
     shares = frozen(  # its size is known from then on, so the texts need no shuffle
         usable.groupBy("lang")
@@ -166,8 +170,10 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     rows = (
         usable.join(shares, F.col("lang") == F.col("of"))
         .filter(F.pmod("draw", F.lit(1_000_000)) < F.col("share"))
-        .select("lang", F.arrow_udf(run, "keys binary, hits binary")(text_of()).alias("c"))
-        .select("lang", "c.keys", "c.hits")
+        .select("lang", "draw", F.arrow_udf(run, "keys binary, hits binary")(text_of()).alias("c"))
+        .select("lang", "draw", "c.keys", "c.hits")
+        .dropDuplicates(["lang", "draw"])
+        .drop("draw")
         .toPandas()
         .sort_values(["lang", "keys", "hits"])
     )

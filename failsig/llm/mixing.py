@@ -71,8 +71,9 @@ def mixed(docs: DataFrame, seed: int = 8, **targets) -> DataFrame:
     """Each row of ``docs`` as ``row``, with ``size``, ``source_size``, ``target`` and ``copies``.
 
     The rate of a source is its target over its tokens. A row is emitted floor(rate) times, plus
-    once if a hash of ``seed`` and its doc_id falls below the fraction: the same in every run.
-    Null texts have size 0 and null is a source of its own. Repeated rows draw alike. Without
+    once if a hash of ``seed``, its doc_id and its text falls below the fraction: the same in every
+    run. Null texts have size 0 and null is a source of its own. Rows without an id or with one in
+    common draw by their texts; only rows alike in both draw alike. Without
     tokens at all every target and every number of copies is 0.
     """
     parts = packed(docs).select(
@@ -85,7 +86,12 @@ def mixed(docs: DataFrame, seed: int = 8, **targets) -> DataFrame:
     )
     joined = parts.join(plan, F.col("source").eqNullSafe(F.col("of_source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))
+    key = F.concat(
+        F.lit(f"{seed}:"),
+        F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")),
+        F.lit(":"),
+        F.md5(text_of("row.text").cast("binary")),
+    )
     return joined.select(
         "row",
         "size",

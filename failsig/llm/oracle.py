@@ -4,7 +4,7 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["op8_mixing"] = r"""
 WITH sized AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS body,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -28,7 +28,7 @@ plan AS (
 rated AS (
   SELECT doc_id, size, source_size, target,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+         ('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, '') || ':' || body), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source)
 SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -104,7 +104,9 @@ def tables(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", DOCS), ("labels", LABELS), ("benchmark", ITEMS)):
+    vectors = "vec_id long, embedding array<float>, label int"
+    tables = {"documents": DOCS, "labels": LABELS, "benchmark": ITEMS, "embeddings": vectors}
+    for name, schema in tables.items():
         spark.createDataFrame([], schema).write.parquet(f"{out}/{name}.parquet")
     return out
 
@@ -145,7 +147,47 @@ def test_license_blocks_meet_the_threshold_exactly(spark):
                 share = len(block & members) / len(members)
                 if share >= 0.8:
                     want.add((b // 8, label, share))
-        assert {tuple(f) for f in row["found"]} == want
+        assert {(f["block"], f["label"], f["containment"]) for f in row["found"]} == want
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_license_templates_of_any_length(spark, monkeypatch, limit):
+    """Each is found in a text of its own words, among others and in blocks of its own size."""
+    monkeypatch.setattr(license, "BROADCAST", limit)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = {n: _sentence(rng, vocabulary, n) for n in (3, 20, 32, 33, 64, 65, 200, 1000)}
+    templates = {t: f"n{n}" for n, t in texts.items()} | {" ,;": "no words"}
+    filler = " ".join(f"x{i}" for i in range(77))
+    docs = spark.createDataFrame(
+        [(n, f"{filler} {t} {filler}") for n, t in texts.items()], "doc_id long, text string"
+    )
+    for row in license.scan(docs, templates, {}).collect():
+        best = max(row["found"], key=lambda f: f["containment"])
+        assert best["label"] == f"n{row['doc_id']}" and best["containment"] == 1.0
+        assert {f["label"] for f in row["found"]} == {best["label"]}
+
+
+def test_license_of_a_text_full_of_phrases(spark):
+    """A million words of phrases; their places are not copied to every block."""
+    docs = spark.createDataFrame(
+        [(1, "all rights reserved " * 333_334), (2, "cc by")], "doc_id long, text string"
+    )
+    rows = license.scan(docs).select(
+        "doc_id", "n_words", F.size("places").alias("n"), F.size("found").alias("found")
+    )
+    got = {r["doc_id"]: tuple(r)[1:] for r in rows.collect()}
+    assert got[1] == (1_000_002, 333_334, 31_250) and got[2] == (2, 1, 0)
+
+
+def test_full_license_notices(spark):
+    docs = spark.createDataFrame(
+        [(i, f"Copyright 2020 somebody. {t} The rest of the text follows here.") for i, t in enumerate(license.TEMPLATES)],
+        "doc_id long, text string",
+    )
+    labels = list(license.TEMPLATES.values())
+    for row in license.scan(docs).collect():
+        assert labels[row["doc_id"]] in {f["label"] for f in row["found"]}
 
 
 def test_simhash(spark, tables):
@@ -417,6 +459,39 @@ def test_emitted_rows_follow_the_copies(spark, tables):
     assert out.columns == docs.columns and out.count() == copies
 
 
+def test_mix_of_rows_without_ids_is_near_its_targets(spark):
+    rows = [(None, f"text {i} of one two three", "en", f"s{i % 3}", 0) for i in range(6000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sums = (
+        mixing.mixed(docs)
+        .groupBy(F.col("row.source").alias("source"))
+        .agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"))
+    )
+    for r in sums.collect():
+        assert abs(r["taken"] / r["target"] - 1) < 0.05
+
+
+def test_samples_hold_with_repeated_and_missing_ids(spark, monkeypatch):
+    """What the driver is given stays near the sample, however ids and rows repeat."""
+    given = []
+    for module in (gam, langid):
+
+        def fit(*args, real=module.fit):
+            given.append(len(args[0]))
+            return real(*args)
+
+        monkeypatch.setattr(module, "fit", fit)
+    texts = [f"some words number {i} and more of them" for i in range(900)] + ["the same text"] * 600
+    rows = [(None, t, "en" if i % 2 else "fr", "s", 0) for i, t in enumerate(texts)]
+    langid.identified(spark.createDataFrame(rows, DOCS), per_lang=100).collect()
+    assert 100 < given.pop() < 300
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % gam.FOLDS][:2]
+    rows = [(ids[i % 2], t, "en", "s", 0) for i, t in enumerate(texts)]
+    marks = spark.createDataFrame([(i, k, 0) for k, i in enumerate(ids)], LABELS)
+    gam.scored(spark.createDataFrame(rows, DOCS), marks, sample=200).collect()
+    assert 50 < given.pop() < 300
+
+
 def test_languages(spark, tables):
     got = queries.op9_language_id(spark, tables).collect()
     lang = {d: (t, lang) for d, t, lang, *_ in corpus()}
