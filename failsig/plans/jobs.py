@@ -82,7 +82,7 @@ def ingest(
 
 def ingest_logs(
     kb: KnowledgeBase,
-    read_logs: Callable[[list[tuple[int, int]]], DataFrame],
+    read_logs: Callable[[DataFrame], DataFrame],
     runs: DataFrame,
     artifacts: DataFrame,
     suite: str | None = None,
@@ -91,13 +91,16 @@ def ingest_logs(
     """Ingest the logs of ``runs``, newest run first, ``per_commit`` artifacts at a time.
 
     Each slice is one commit, so a job that is cut off keeps what it has done. ``read_logs`` gets
-    the slice's (run, artifact) pairs, at most ``per_commit`` of them, and should read no other
-    files, as the readers of ``sources.ci`` do; rows with an ``error`` are recorded as skipped.
+    a table of the slice's run and artifact ids, at most ``per_commit`` rows that are on disk, and
+    should read no other files, as the readers of ``sources.ci`` do; rows with an ``error`` are
+    recorded as skipped.
     Gives AGG-13 of each slice. The last commit adds the runs without wanted logs.
     """
     newest = F.unix_seconds(F.try_to_timestamp("created_at")).desc_nulls_last()
-    wanted = with_position(
-        run_artifacts(runs, artifacts, suite), newest, F.desc("run_id"), F.col("artifact_id")
+    wanted = frozen(
+        with_position(
+            run_artifacts(runs, artifacts, suite), newest, F.desc("run_id"), F.col("artifact_id")
+        )
     )
     covered = frozen(runs_covered(runs, artifacts))
     slices = -(-wanted.count() // per_commit)
@@ -105,8 +108,7 @@ def ingest_logs(
     for k in range(slices):
         at = F.col("position")
         part = wanted.filter((at >= k * per_commit) & (at < (k + 1) * per_commit)).drop("position")
-        keys = [tuple(r) for r in part.select("run_id", "artifact_id").collect()]
-        logs = read_logs(keys)
+        logs = read_logs(part.select("run_id", "artifact_id"))
         if "error" not in logs.columns:
             logs = logs.withColumn("error", F.lit(None).cast("string"))
         records = frozen(parse_without_suite(logs, keep_clean=True))

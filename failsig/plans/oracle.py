@@ -540,6 +540,21 @@ ORACLE: dict[str, str] = {
     ),
     "log_ingest": _JOB_PATTERNS,
     "log_ingest_shuffled": _JOB_PATTERNS,
+    "landed_log_ingest": _sql(
+        [*_JOB, *_occurrences(), *_counts()],
+        "SELECT signature_hash, count, first_seen, last_seen, title, (SELECT count(DISTINCT run_id)"
+        " FROM ad JOIN runs_v USING (run_id) WHERE conclusion = 'failure') AS runs_covered FROM p",
+    ),
+    "tree_scan": (
+        "WITH l AS (SELECT p_partkey % 5 AS dir_ord, p_partkey % 7 AS area, p_name || ' #' || p_size AS text,"
+        " row_number() OVER (PARTITION BY p_partkey % 5, p_partkey % 7 ORDER BY p_partkey) AS line"
+        " FROM part WHERE p_partkey % 5 < 4),"
+        # each file ends with a line feed, after which an empty line counts
+        " a AS (SELECT * FROM l UNION ALL SELECT dir_ord, area, '', max(line) + 1 FROM l GROUP BY ALL)"
+        " SELECT cast(dir_ord AS INT) AS dir_ord, ['test/e2e', 'test/system', 'test/upgrade',"
+        " 'test/farm'][dir_ord + 1] || '/area=0' || area || '-x y' AS folder,"
+        " cast(line AS INT) AS line, text FROM a"
+    ),
     "failures_per_artifact": _sql(
         _JOB, "SELECT run_id, artifact_id, count(*) AS failures FROM f GROUP BY ALL"
     ),

@@ -19,9 +19,16 @@ from ..operators import categorize, fold, index, links, report
 from ..operators.parse import parse_logs
 from ..operators.scale import frozen, salted_join, scratch
 from ..sources import schemas
-from ..sources.ci import failed_jobs, failed_runs, log_artifacts, unzipped
+from ..sources.ci import (
+    failed_jobs,
+    failed_runs,
+    log_artifacts,
+    read_html_logs,
+    unzipped,
+)
 from ..sources.documents import patterns_of, read_documents, write_documents
 from ..sources.knowledge_base import KnowledgeBase
+from ..sources.tree import TEST_DIRS, source_lines
 from ..streaming.ingest import stream_failures, stream_logs
 from . import jobs
 from .derived import PATTERN_REPLY, apply_view, log_html, log_text, table, view
@@ -641,6 +648,49 @@ def stream_late_runs(spark, sf_dir):
     return kb.patterns().core.select("signature_hash", "count", "first_seen", "last_seen")
 
 
+@query
+def landed_log_ingest(spark, sf_dir):
+    """SRC-1..3, SRC-8, SNK-1, JN-6, AGG-12: the whole job over log files in folders, in slices of
+    a third of the artifacts, most files being of runs that didn't fail."""
+    logs, runs, artifacts = _job_inputs(spark, sf_dir)
+    every = view(spark, sf_dir, "runs_v").select("run_id")
+    root = scratch(spark)
+    logs.join(every, "run_id", "left_semi").select("run_id", "artifact_id", "html").write.partitionBy(
+        "run_id", "artifact_id"
+    ).text(f"{root}/logs")
+    kb = KnowledgeBase(spark, f"{root}/kb")
+    wanted = run_artifacts(runs, artifacts).count()
+    jobs.ingest_logs(
+        kb,
+        lambda keys: read_html_logs(spark, f"{root}/logs", keys, "*.txt"),
+        runs,
+        artifacts,
+        per_commit=max(-(-wanted // 3), 1),
+    )
+    core = kb.patterns().core.select("signature_hash", "count", "first_seen", "last_seen", "title")
+    return core.withColumn("runs_covered", F.lit(kb.runs_seen().count()).cast("bigint"))
+
+
+@query
+def tree_scan(spark, sf_dir):
+    """SRC-5, SRT-7: a checkout with the parts as lines of its files, in the four scanned folders
+    and another, next to files of other types."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    root = scratch(spark)
+    area = F.format_string("%02d-x y", F.col("p_partkey") % 7).alias("area")
+    for i, folder in enumerate([*TEST_DIRS, "test/unit"]):
+        rows = parts.filter(F.col("p_partkey") % 5 == i).select(
+            area, "p_partkey", F.concat_ws(" #", "p_name", "p_size").alias("value")
+        )
+        lines = rows.repartition("area").sortWithinPartitions("area", "p_partkey").drop("p_partkey")
+        lines.write.partitionBy("area").text(f"{root}/{folder}")
+        lines.write.partitionBy("area").mode("append").csv(f"{root}/{folder}")
+    found = source_lines(spark, root, "*.txt")
+    return found.select(
+        "dir_ord", F.expr("substring_index(file, '/part-', 1)").alias("folder"), "line", "text"
+    )
+
+
 @query
 def failures_per_artifact(spark, sf_dir):
     """AGG-14."""

@@ -16,7 +16,8 @@ from . import schemas
 
 _FAILURE = "failure"
 
-Keys = Iterable[tuple[int, int]]  # of artifacts: run and artifact
+# the run and artifact ids of the wanted artifacts: a table with these columns, or a few pairs
+Keys = DataFrame | Iterable[tuple[int, int]]
 
 
 def read_json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -84,27 +85,41 @@ def _ids_from_path(files: DataFrame) -> DataFrame:
 
 
 def _only(files: DataFrame, wanted: Keys | None) -> DataFrame:
-    """The folders of the wanted artifacts. A filter on partition columns alone: files of other
-    folders are not opened."""
+    """The folders of the wanted artifacts; files of other folders are not opened.
+
+    A table of keys is broadcast and prunes the folders when the scan starts, so the keys never
+    pass the driver; give a bounded part of a larger one that has a filter of its own, as
+    ``ingest_logs`` does.
+    """
     if wanted is None:
         return files
-    runs, artifacts = {r for r, _ in wanted}, {a for _, a in wanted}
+    if isinstance(wanted, DataFrame):
+        # the folders' numbers have whatever width they were inferred to have
+        keys = wanted.select(
+            *[F.col(c).cast(files.schema[c].dataType).alias(c) for c in ("run_id", "artifact_id")]
+        )
+        return files.join(F.broadcast(keys), ["run_id", "artifact_id"], "left_semi")
+    pairs = list(wanted)
+    runs, artifacts = {r for r, _ in pairs}, {a for _, a in pairs}
     return files.filter(F.col("run_id").isin(runs) & F.col("artifact_id").isin(artifacts))
 
 
-def read_html_logs(spark: SparkSession, path: str, wanted: Keys | None = None) -> DataFrame:
-    """SRC-3 for unpacked logs: ``path/run_id=1/artifact_id=2/*.html``.
+def read_html_logs(
+    spark: SparkSession, path: str, wanted: Keys | None = None, files: str = "*.html"
+) -> DataFrame:
+    """SRC-3 for unpacked logs: ``path/run_id=1/artifact_id=2/*.html``, or other ``files``.
 
-    ``wanted`` names the (run, artifact) pairs to read, by default all; others may still come
-    where both of their ids are wanted, which the join with the artifacts drops.
+    ``wanted`` names the (run, artifact) pairs to read, by default all. Given as pairs, others may
+    still come where both of their ids are wanted, which the join with the artifacts drops.
     """
-    files = _only(spark.read.option("pathGlobFilter", "*.html").text(path, wholetext=True), wanted)
+    found = spark.read.option("pathGlobFilter", files).text(path, wholetext=True)
+    named = found.withColumn("filename", F.substring_index(_file_path(), "/", -1))
     return _ids_from_path(
-        files.select(
+        _only(named, wanted).select(
             "run_id",
             "artifact_id",
             F.lit(0).alias("file_ord"),
-            F.substring_index(_file_path(), "/", -1).alias("filename"),
+            "filename",
             F.make_valid_utf8("value").alias("html"),
         )
     )

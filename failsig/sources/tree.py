@@ -16,9 +16,9 @@ TEST_DIRS = ("test/e2e", "test/system", "test/upgrade", "test/farm")
 SOURCE_GLOB = "*.{go,bats}"
 
 
-def source_lines(spark: SparkSession, root: str) -> DataFrame:
+def source_lines(spark: SparkSession, root: str, files: str = SOURCE_GLOB) -> DataFrame:
     """file (relative to ``root``), line (from 1), text and dir_ord. Only the four folders are
-    listed and read.
+    listed, and only ``files`` in them read.
 
     Scan order is dir_ord, then the parts of the path, then line.
     """
@@ -32,7 +32,7 @@ def source_lines(spark: SparkSession, root: str) -> DataFrame:
     for i, folder in enumerate(TEST_DIRS):
         try:
             lines = (
-                spark.read.option("pathGlobFilter", SOURCE_GLOB)
+                spark.read.option("pathGlobFilter", files)
                 .option("recursiveFileLookup", True)
                 .text(f"{root.rstrip('/')}/{folder}", wholetext=True)
             )

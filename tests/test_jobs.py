@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_parse import BATS, CLEAN, GINKGO
 
 from failsig.operators.links import find_markers
+from failsig.operators.scale import frozen
 from failsig.plans import jobs
 from failsig.plans.failures import log_failures, run_artifacts, runs_covered
 from failsig.sources import schemas
@@ -357,6 +358,13 @@ def test_archives_nobody_wants_are_not_read(spark, tmp_path):
     plan = logs._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "run_id" in plan.split("PartitionFilters: [")[1][:80]
     assert {r.artifact_id for r in logs.collect()} == {21}
+    # the same with a table of keys, of which the driver sees nothing
+    keys = frozen(spark.createDataFrame([(0, 2, 21), (1, 3, 31)], "n int, run_id long, artifact_id long"))
+    for read, path in ((read_zip_logs, root), (read_html_logs, land_logs(tmp_path / "html"))):
+        logs = read(spark, path, keys.filter("n < 1").select("run_id", "artifact_id"))
+        plan = logs._jdf.queryExecution().executedPlan().toString()
+        assert "dynamicpruning" in plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert {r.artifact_id for r in logs.collect()} == {21}
 
     kb = KnowledgeBase(spark, str(tmp_path / "kb"))
     stats = jobs.ingest_logs(
