@@ -6,6 +6,7 @@ import argparse
 import importlib
 
 from .operators.links import find_markers
+from .operators.long_logs import long_log_records
 from .plans import jobs
 from .session import session
 from .sources import schemas
@@ -33,7 +34,7 @@ def _ingest(spark, kb, args):
         broken = broken_lines(spark, path, schema)
         broken.write.mode("append").parquet(f"{kb.root}/broken_lines")
         print(f"{path}: {broken.count()} broken lines, kept in {kb.root}/broken_lines")
-    read_logs = read_zip_logs if args.zip else read_html_logs
+    read_logs = read_zip_logs if args.zip else long_log_records if args.long else read_html_logs
     failed = failed_runs(runs, args.limit, args.event, args.workflow)
     stats = jobs.ingest_logs(
         kb,
@@ -75,7 +76,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--runs", required=True, help="JSON lines, one per run")
     p.add_argument("--artifacts", required=True, help="JSON lines, one per artifact")
     p.add_argument("--logs", required=True, help="run_id=*/artifact_id=* folders")
-    p.add_argument("--zip", action="store_true", help="logs are archives as downloaded")
+    kind = p.add_mutually_exclusive_group()
+    kind.add_argument("--zip", action="store_true", help="logs are archives as downloaded")
+    kind.add_argument("--long", action="store_true", help="read logs by byte ranges, whatever their size")
     p.add_argument("--limit", type=_limit, default=10, help="how many failed runs, or all")
     p.add_argument("--per-commit", type=int, default=500, help="artifacts between two commits")
     p.add_argument("--event", choices=["push", "pull_request"])

@@ -111,7 +111,13 @@ def parse_logs(logs: DataFrame, html: str = "html", keep_clean: bool = False) ->
     text = logs.select(*keep, strip_tags(F.col(html)).alias("_stripped")).select(
         *keep, decode_entities(F.col("_stripped")).alias("_text")
     )
-    body, suite = F.col("_text"), F.col("suite")
+    return parse_texts(text, "_text", keep_clean)
+
+
+def parse_texts(logs: DataFrame, text: str, keep_clean: bool = False) -> DataFrame:
+    """:func:`parse_logs` of plain text."""
+    keep = [c for c in logs.columns if c != text]
+    body, suite = F.col(text), F.col("suite")
     none = F.array().cast(_BLOCKS)
     # a plain substring test spares most logs the regular expression
     ginkgo = F.when(
@@ -123,7 +129,7 @@ def parse_logs(logs: DataFrame, html: str = "html", keep_clean: bool = False) ->
         _find_blocks(body, BATS, BATS_HEADER, BATS_NEXT),
     ).otherwise(none)
     explode = F.inline_outer if keep_clean else F.inline
-    blocks = text.select(*keep, explode(F.concat(ginkgo, bats)))
+    blocks = logs.select(*keep, explode(F.concat(ginkgo, bats)))
 
     is_ginkgo, block, rest = F.col("parser_ord") == GINKGO, F.col("block"), F.col("_rest")
 

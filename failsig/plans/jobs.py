@@ -93,7 +93,8 @@ def ingest_logs(
     Each slice is one commit, so a job that is cut off keeps what it has done. ``read_logs`` gets
     a table of the slice's run and artifact ids, at most ``per_commit`` rows that are on disk, and
     should read no other files, as the readers of ``sources.ci`` do; rows with an ``error`` are
-    recorded as skipped.
+    recorded as skipped. It may also give records that are parsed already, as those of
+    ``long_log_records``.
     Gives AGG-13 of each slice. The last commit adds the runs without wanted logs.
     """
     newest = F.unix_seconds(F.try_to_timestamp("created_at")).desc_nulls_last()
@@ -111,7 +112,8 @@ def ingest_logs(
         logs = read_logs(part.select("run_id", "artifact_id"))
         if "error" not in logs.columns:
             logs = logs.withColumn("error", F.lit(None).cast("string"))
-        records = frozen(parse_without_suite(logs, keep_clean=True))
+        parsed = "parser_ord" in logs.columns
+        records = frozen(logs if parsed else parse_without_suite(logs, keep_clean=True))
         bad = records.filter("error IS NOT NULL").select(
             "run_id", "artifact_id", "filename", "error"
         )

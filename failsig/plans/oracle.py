@@ -545,6 +545,16 @@ ORACLE: dict[str, str] = {
         "SELECT signature_hash, count, first_seen, last_seen, title, (SELECT count(DISTINCT run_id)"
         " FROM ad JOIN runs_v USING (run_id) WHERE conclusion = 'failure') AS runs_covered FROM p",
     ),
+    "long_log_failures": _sql(
+        [
+            *_BOTH,
+            f"rec AS ({_GINKGO_ROWS.replace('{suite} AS suite, ', '')} UNION ALL"
+            f" {_BATS_ROWS.replace('{suite} AS suite, ', '')})",
+        ],
+        "SELECT run_id % 8 AS run_id, parser_ord, cast(row_number() OVER (PARTITION BY run_id % 8,"
+        " parser_ord ORDER BY run_id, pos) - 1 AS INT) AS pos, test_name, suite_name, test_file,"
+        " error_excerpt FROM rec",
+    ),
     "tree_scan": (
         "WITH l AS (SELECT p_partkey % 5 AS dir_ord, p_partkey % 7 AS area, p_name || ' #' || p_size AS text,"
         " row_number() OVER (PARTITION BY p_partkey % 5, p_partkey % 7 ORDER BY p_partkey) AS line"

@@ -16,6 +16,7 @@ from ..functions.normalize import normalize, with_fingerprint
 from ..functions.replies import parse_reply
 from ..functions.text import blank_if_null
 from ..operators import categorize, fold, index, links, report
+from ..operators.long_logs import long_log_records
 from ..operators.parse import parse_logs
 from ..operators.scale import frozen, salted_join, scratch
 from ..sources import schemas
@@ -671,6 +672,34 @@ def landed_log_ingest(spark, sf_dir):
     return core.withColumn("runs_covered", F.lit(kb.runs_seen().count()).cast("bigint"))
 
 
+@query
+def long_log_failures(spark, sf_dir):
+    """SRC-3, PAR-3..7 by byte ranges: the lines of all runs in eight long logs of each grammar, read
+    in 64 splits, whose borders fall anywhere."""
+    root = scratch(spark)
+    kinds = [
+        view(spark, sf_dir, name).select(
+            (F.col("run_id") % 8).alias("log"), F.lit(i).alias("artifact_id"), "run_id", "seq",
+            log_html(F.col("line")).alias("html"),
+        )
+        for i, name in enumerate(("blocks_v", "lines_v"))
+    ]
+    lines = kinds[0].union(kinds[1])
+    size = lines.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    of_log = ["log", "artifact_id"]
+    lines.repartition(*of_log).sortWithinPartitions(*of_log, "run_id", "seq").select(
+        F.col("log").alias("run_id"), "artifact_id", "html"
+    ).write.partitionBy("run_id", "artifact_id").text(f"{root}/logs")
+    split = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    spark.conf.set(split, str(max(size // 64, 1024)))
+    try:
+        records = frozen(long_log_records(spark, f"{root}/logs", files="*.txt"))
+    finally:
+        spark.conf.set(split, before)
+    return records.drop("artifact_id", "file_ord", "filename")
+
+
 @query
 def tree_scan(spark, sf_dir):
     """SRC-5, SRT-7: a checkout with the parts as lines of its files, in the four scanned folders

@@ -125,6 +125,27 @@ def read_html_logs(
     )
 
 
+def log_lines(
+    spark: SparkSession, path: str, wanted: Keys | None = None, files: str = "*.html"
+) -> DataFrame:
+    """The logs of :func:`read_html_logs` line by line: one row a line, in order within each byte
+    range (``file``, ``start``) that Spark reads by itself."""
+    lines = (
+        spark.read.option("pathGlobFilter", files)
+        .option("lineSep", "\n")
+        .text(path)
+        .select(
+            "run_id",
+            "artifact_id",
+            F.substring_index(_file_path(), "/", -1).alias("filename"),
+            F.xxhash64("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.make_valid_utf8("value").alias("value"),
+        )
+    )
+    return _ids_from_path(_only(lines, wanted))
+
+
 def _unzipper():
     # local, so that it ships by value and workers need not have this package installed
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
