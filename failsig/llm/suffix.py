@@ -217,7 +217,9 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
             F.min(F.struct("rid", "s", "run", "at")).alias("m"),
         )
     )
-    several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    several = frozen(
+        classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    )
     wanted = frozen(
         classes.join(several, "gram").select(
             "gram", "cls", "classes", "m.rid", "m.s", "m.run", "m.at"
@@ -359,7 +361,8 @@ def removed(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     rows = docs.select("doc_id", utf8().alias("body")).withColumn(
         "rid", F.xxhash64("doc_id", "body")
     )
-    found = repeats(rows.select("rid", "body"), size, gram)
+    # stored, so that the bodies of rows that come very often can be split among tasks
+    found = frozen(repeats(rows.select("rid", "body"), size, gram))
 
     def strip(bodies: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
