@@ -42,7 +42,12 @@ CANDIDATE = "|".join(
 #: candidates that are taken after a sure pattern but make no pattern sure
 _WEAK = "^.{0,4}$|^[^0-9]*$"
 #: what stands between the members of a list
-_LIST = r"^\s*(?:(?:[,;/&|]|and\s|or\s)\s*)*$"
+_LIST = r"^\s*(?:(?:[,;/&|]|and\s|or\s)\s*)+$"
+#: a label: a word with a colon, an equals sign or a number sign, and perhaps an opening quote
+LABEL = r"(?<![a-z0-9_-])[a-z][a-z0-9_-]*+\x20{0,2}+[:=#]\x20{0,2}+[\"']?+"
+#: a candidate that looks like a key or a token by itself: long, with digits and letters mixed
+_KEY = r"^(?=(?:[^0-9]*+[0-9]){3})(?=(?:[^a-z]*+[a-z]){2})[a-z0-9_+-]{12,}$"
+KEY_SCORE = 0.6  # of such a candidate behind a label, where those of the expressions have 1
 CONTEXT = "context"  # the kind of what only a pattern found
 ROUNDS = 3  # at least; more follow while they change anything
 RISE = 0.01  # of a score by which a round still changes something
@@ -53,6 +58,17 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _NEAR = 80  # characters before a match in which its left word is looked for
 
 
+def _spaced(label: Column) -> Column:
+    return F.regexp_replace(label, "\x20+", " ")
+
+
+def _phrases(text: Column) -> Column:
+    """All words and labels of a text, each as often as it stands there."""
+    labels = F.transform(F.regexp_extract_all(lower_ascii(text), F.lit(LABEL), F.lit(0)), _spaced)
+    none = F.array().cast("array<string>")
+    return F.concat(item_words(text), F.when(text.rlike("[:=#]"), labels).otherwise(none))
+
+
 def _matches(text: Column, kind: str, pattern: str, needs: str) -> Column:
     """The matches of one kind as structs; places follow from the lengths of gaps and matches."""
     gaps = F.split(text, pattern, -1)
@@ -102,8 +118,8 @@ def _valid() -> Column:
 def entities(docs: DataFrame) -> DataFrame:
     """One row for each seed entity and candidate, and one with null kind for each document.
 
-    ``rid`` tells documents apart, ``start`` and ``end`` count code points, ``left`` is the word
-    before; members of a list have that of its first. ``votes`` tells whether the place counts for
+    ``rid`` tells documents apart, ``start`` and ``end`` count code points, ``left`` has the word
+    before and the label right before, if any; members of a list have those of its first. ``votes`` tells whether the place counts for
     its word: the first of a list does, a candidate that is short or has no digit doesn't.
     Candidates that overlap a seed entity are left out. Only documents with digits, an at sign or
     a label bring more than one row to the shuffle by ``rid``.
@@ -124,14 +140,15 @@ def entities(docs: DataFrame) -> DataFrame:
     )
     upto = Window.partitionBy("rid", "kind").orderBy("k")
     end = F.sum(F.col("gap") + F.col("size")).over(upto)
-    before = F.try_element_at(
-        F.array_remove(F.split(lower_ascii(F.col("near")), NON_WORD), ""), F.lit(-1)
-    )
+    near = lower_ascii(F.col("near"))
+    word = F.try_element_at(F.array_remove(F.split(near, NON_WORD), ""), F.lit(-1))
+    label = _spaced(F.regexp_extract(near, f"{LABEL}$", 0))
     heads = (F.col("k") == 0) | (F.col("gap") > _NEAR) | ~F.col("near").rlike(_LIST)
     weak = (F.col("kind") == CONTEXT) & F.col("value").rlike(_WEAK)
     placed = (
         rows.withColumn("end", end)
-        .withColumn("left", F.last(F.when(heads, F.struct(before.alias("w"))), True).over(upto)["w"])
+        .withColumn("pair", F.last(F.when(heads, F.struct(word.alias("w"), label.alias("l"))), True).over(upto))
+        .withColumn("left", F.array_compact(F.array("pair.w", F.nullif("pair.l", F.lit("")))))
         .withColumn("votes", heads & ~weak)
         .withColumn("start", F.col("end") - F.col("size"))
         .filter(F.col("kind").isNull() | _valid())
@@ -155,10 +172,12 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def patterns(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``left``, ``sure`` and ``met`` of the words that identify what follows them.
+    """``left``, ``sure`` and ``met`` of the words and labels that identify what follows them.
 
-    A pattern is the word left of an entity. The graph has an edge for each pattern and entity
-    that met, with how often. Seeds have score 1. In each round a pattern's score is the sum of
+    A pattern is the word left of an entity, or its label with the signs between (``token = "``).
+    The graph has an edge for each pattern and entity that met, with how often. Seeds have score 1;
+    what looks like a key or token behind a label has ``KEY_SCORE``, so that a label makes itself
+    sure if nearly all it introduces are keys. In each round a pattern's score is the sum of
     its entities' scores over all places where its word stands in the corpus, so that frequent
     words don't become patterns; it counts only if it met ``SUPPORT`` different entities. An
     entity that is no seed gets the score that at least one of its patterns is right. Scores only
@@ -167,11 +186,16 @@ def patterns(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFr
     each partner.
     """
     edges = frozen(
-        found.filter("kind is not null and left is not null and votes")
+        found.filter("kind is not null and votes")
+        .withColumn("left", F.explode("left"))
         .groupBy("left", "value")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.max(F.when(F.col("kind") == CONTEXT, 0.0).otherwise(1.0)).alias("seed"),
+            F.max(
+                F.when(F.col("kind") != CONTEXT, 1.0)
+                .when(F.col("left").rlike("[:=#]") & F.col("value").rlike(_KEY), KEY_SCORE)
+                .otherwise(0.0)
+            ).alias("seed"),
         )
     )
     words = frozen(
@@ -228,9 +252,15 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Null and empty texts have no spans; repeated rows stay.
     """
     found = frozen(entities(docs))
-    sure = frozen(patterns(found, docs.select(item_words(text_of()).alias("w")), rounds).select("left"))
+    sure = frozen(patterns(found, docs.select(_phrases(text_of()).alias("w")), rounds).select("left"))
     context = F.col("kind") == CONTEXT
-    added = found.filter(context).join(sure, "left", "left_semi").select(*found.columns)
+    added = (
+        found.filter(context)
+        .withColumn("pattern", F.explode("left"))
+        .join(sure.withColumnRenamed("left", "pattern"), "pattern", "left_semi")
+        .select(*found.columns)
+        .distinct()  # both of its patterns may be sure
+    )
     kept = found.filter(F.col("kind").isNull() | ~context).unionByName(added)
     place = F.array_position(F.array(*[F.lit(k) for k in [*KINDS, CONTEXT]]), F.col("kind"))
     span = F.when(
