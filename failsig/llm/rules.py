@@ -11,15 +11,16 @@ from .common import SPACES, fold_of, let, text_of, words
 BANDS = (100, 1000)  # words; the strata are the lengths below, between and from these
 LIMIT = 0.02  # of the good texts of a stratum, rejected at most
 CONFIDENCE = 0.95  # that the limit holds in every stratum at once
-LEAST = 0.01  # no cutoff is lower: one symbol, bar or repeat in a hundred never rejects a text
-LEVELS = (0.98, 0.99, 0.995, 0.999, 1.0)  # quantiles of good texts that are tried as cutoffs
+# quantiles of good texts that are tried as cutoffs: lower ones than 1 - LIMIT / rules can't be certified
+LEVELS = (*(round(0.996 + 0.0002 * i, 4) for i in range(20)), 1.0)
+TERMS = 1024  # of a binomial tail that are added up; what lies beyond is bounded
 
 #: each rule rejects texts whose figure is above its cutoff
 RULES = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
     "capitals": "n_capitals / greatest(word_chars, 1)",
     "bars": "n_bars / greatest(n_words, 1)",
-    "duplicate_lines": "n_dup_lines / greatest(n_words, 1)",
+    "duplicate_lines": "n_dup_lines / greatest(n_lines, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
 }
 
@@ -74,6 +75,7 @@ def measured(docs: DataFrame) -> DataFrame:
         repeated_words(F.col("w")).cast("long").alias("n_repeat_words"),
         _removed(F.col("body"), "[A-Z]").alias("n_capitals"),
         _removed(F.col("body"), r"\|").alias("n_bars"),
+        F.size(lines).cast("long").alias("n_lines"),
     )
 
 
@@ -81,21 +83,49 @@ def _stratum() -> Column:
     return sum((F.col("n_words") >= b).cast("int") for b in BANDS)
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln(n!), by table up to 20 and by Stirling's series, good to 12 digits, above."""
+    x = n.cast("double")
+    series = (
+        x * F.log(x) - x + F.log(2 * F.pi() * x) / 2
+        + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5)))
+    )
+    return F.when(n > 20, series).otherwise(F.log(F.factorial(F.least(n, F.lit(20)).cast("int"))))
+
+
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """P(X <= k) for X of n trials at ``p``, exactly, as a sum of terms kept as logarithms."""
-    odds = F.lit(p / (1 - p))
-    start = F.struct(
-        (n * F.log(F.lit(1 - p))).alias("term"), F.exp(n * F.log(F.lit(1 - p))).alias("total")
+    """P(X <= k) for X of n trials at ``p``.
+
+    The terms are added from the k-th down, each from the one above. With up to ``TERMS`` of them
+    the sum is exact; the others shrink at least as fast as the last that was added, so a
+    geometric series bounds them and the tail is never stated too small. The work doesn't grow
+    with n or k.
+    """
+    odds = (1 - p) / p
+    top = (
+        _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+        + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
     )
 
+    def shrink(j: Column) -> Column:
+        """The (k-j-1)-th term over the (k-j)-th."""
+        return (k - j) / (n - k + j + 1) * odds
+
     def step(acc: Column, j: Column) -> Column:
-        term = acc["term"] + F.log((n - j + 1) / j * odds)
-        return F.struct(term.alias("term"), (acc["total"] + F.exp(term)).alias("total"))
+        term = acc["term"] * shrink(j)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    terms = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    return F.aggregate(terms, start, step, lambda acc: acc["total"])
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    last = F.lit(TERMS - 1).cast("long")
+    rest = shrink(last)
+
+    def closed(acc: Column) -> Column:
+        beyond = F.when(rest < 1, acc["term"] * rest / (1 - rest)).otherwise(float("inf"))
+        return acc["total"] + F.when(k > last, beyond).otherwise(0.0)
+
+    below = F.sequence(F.lit(0).cast("long"), F.least(k - 1, last - 1))
+    sums = F.when(k >= 1, F.aggregate(below, start, step, closed)).otherwise(1.0)
+    return F.when(k >= n, 1.0).otherwise(F.least(F.lit(1.0), F.exp(top) * sums))
 
 
 def cutoffs(figures: DataFrame, labels: DataFrame) -> DataFrame:
@@ -130,8 +160,7 @@ def cutoffs(figures: DataFrame, labels: DataFrame) -> DataFrame:
         long.filter(good & (F.col("fold") == 0))
         .groupBy("stratum", "rule")
         .agg(F.percentile_approx("figure", list(LEVELS), 100_000).alias("levels"))
-        .select("stratum", "rule", F.explode("levels").alias("level"))
-        .select("stratum", "rule", F.greatest("level", F.lit(LEAST)).alias("cutoff"))
+        .select("stratum", "rule", F.explode("levels").alias("cutoff"))
         .distinct()
     )
     over = F.col("figure") > F.col("cutoff")

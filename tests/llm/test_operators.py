@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import string
 import zlib
 from collections import Counter, defaultdict
+from math import ceil, comb, log
+from statistics import NormalDist
 
 import brute
 import numpy as np
@@ -263,12 +266,12 @@ def test_cutoffs_are_certified(spark):
     for i in range(8000):
         bad = i % 10 == 0
         symbols = rng.randint(100, 200) if bad else rng.randint(0, 20)
-        rows.append((i, 200, 1000, symbols, 0, 0, 0, 0))
+        rows.append((i, 200, 1000, symbols, 0, 0, 0, 0, 1))
         marks.append((i, 0 if bad else 1))
     figures = spark.createDataFrame(
         rows,
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, n_capitals long, n_bars long",
+        "n_repeat_words long, n_capitals long, n_bars long, n_lines long",
     )
     found = rules.cutoffs(figures, spark.createDataFrame(marks, "doc_id long, quality int"))
     (row,) = found.collect()
@@ -279,14 +282,106 @@ def test_cutoffs_are_certified(spark):
 
 
 def test_binomial_tail_is_exact(spark):
-    from math import comb
-
-    cases = [(10, 0), (10, 3), (500, 2), (5000, 15)]
+    cases = [(10, 0), (10, 3), (10, 10), (21, 1), (500, 2), (5000, 15), (500_000, 1023), (500_000, 1024)]
     df = spark.createDataFrame(cases, "n long, k long")
     got = df.select("n", "k", rules.binomial_tail(F.col("n"), F.col("k"), 0.004).alias("p"))
     for n, k, p in got.collect():
-        want = sum(comb(n, j) * 0.004**j * 0.996 ** (n - j) for j in range(k + 1))
-        assert abs(p - want) < 1e-9 * max(want, 1e-3)
+        if n <= 5000:
+            want = sum(comb(n, j) * 0.004**j * 0.996 ** (n - j) for j in range(k + 1))
+            assert abs(p - want) < 1e-9 * max(want, 1e-3)
+    logs = {}
+    for n, k, p in got.filter("n > 5000").collect():
+        logs[k] = log(p)
+        term = sum(log(n - i) - log(i + 1) for i in range(k)) + k * log(0.004) + (n - k) * log(0.996)
+        total, t = 1.0, 1.0
+        for j in range(k, 0, -1):
+            t *= j / (n - j + 1) * 249
+            total += t
+        assert abs(logs[k] - term - log(total)) < 1e-8
+    assert logs[1023] < logs[1024]
+
+
+def test_a_large_binomial_tail_is_never_too_small(spark):
+    """Beyond the terms that are added up the rest is bounded from above, close to the normal law."""
+    cases = [(10_000_000, 39_400), (10_000_000, 39_500), (10_000_000, 41_000)]
+    df = spark.createDataFrame(cases, "n long, k long")
+    low, near, above = [
+        r["p"] for r in df.orderBy("k").select(rules.binomial_tail(F.col("n"), F.col("k"), 0.004).alias("p")).collect()
+    ]
+    def normal(k):
+        return NormalDist(40_000, (10_000_000 * 0.004 * 0.996) ** 0.5).cdf(k + 0.5)
+
+    assert 0.97 * normal(39_400) < low < 1.05 * normal(39_400)
+    assert 0.97 * normal(39_500) < near < 1.1 * normal(39_500)
+    assert above == 1.0
+
+
+def _judged_by_hand(docs, marks):
+    """``kept`` of each document, restated with lists."""
+    figures = {}
+    for d, text in docs:
+        base = brute.quality_base(text)
+        n_words, chars, symbols, dup, repeat, failed = base
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
+        figures[d] = (
+            sum(n_words >= b for b in rules.BANDS),
+            failed,
+            {
+                "symbols": symbols / max(chars, 1),
+                "capitals": sum(c in string.ascii_uppercase for c in text) / max(chars, 1),
+                "bars": text.count("|") / max(n_words, 1),
+                "duplicate_lines": dup / max(len(lines), 1),
+                "repeats": repeat / max(n_words, 1),
+            },
+        )
+    share = rules.LIMIT / len(rules.RULES)
+    level = (1 - rules.CONFIDENCE) / ((len(rules.BANDS) + 1) * len(rules.RULES))
+    most = {}
+    for stratum in range(len(rules.BANDS) + 1):
+        for rule in rules.RULES:
+            parts = {(f, g): [] for f in (0, 1) for g in (0, 1)}
+            for d, g in marks:
+                if figures[d][0] == stratum:
+                    parts[min(zlib.crc32(str(d).encode()) % 4, 1), g].append(figures[d][2][rule])
+            tried = sorted(parts[0, 1])
+            n = len(parts[1, 1])
+            if not tried or not n:
+                continue
+            for cut in sorted({tried[max(ceil(p * len(tried)), 1) - 1] for p in rules.LEVELS}, reverse=True):
+                wrong = sum(x > cut for x in parts[1, 1])
+                chances = (comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(wrong + 1))
+                if wrong >= share * n or sum(chances) > level:
+                    break
+                if any(x > cut for x in parts[1, 0]):
+                    most[stratum, rule] = cut
+    return most, {
+        d: not failed and all(x <= most.get((s, r), x) for r, x in f.items())
+        for d, (s, failed, f) in figures.items()
+    }
+
+
+def test_the_verdict_equals_a_plain_restatement(spark):
+    rng = random.Random(11)
+    docs, marks = [], []
+    for i in range(4400):
+        bad = i % 11 == 0
+        word = lambda: "".join(rng.choices("abcdefghij", k=5))
+        lines = [" ".join(word() for _ in range(rng.randint(6, 12))) for _ in range(8)]
+        if bad:
+            lines += [lines[0]] * rng.randint(0, 4) + ["# | & " * rng.randint(0, 9)]
+        elif rng.random() < 0.02:
+            lines += ["#" * rng.randint(1, 5)]
+        docs.append((i, "\n".join(lines)))
+        if i % 40:
+            marks.append((i, 0 if bad else 1))
+    most, want = _judged_by_hand(docs, marks)
+    got = rules.judged(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(marks, "doc_id long, quality int"),
+    )
+    assert most and {r["doc_id"]: r["kept"] for r in got.collect()} == want
+    bad = [d for d, _ in docs if d % 11 == 0]
+    assert sum(not want[d] for d in bad) > len(bad) / 2
 
 
 def test_repeats_are_removed(spark, tables):
