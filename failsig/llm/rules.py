@@ -93,6 +93,10 @@ def _log_factorial(n: Column) -> Column:
     return F.when(n > 20, series).otherwise(F.log(F.factorial(F.least(n, F.lit(20)).cast("int"))))
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
     """P(X <= k) for X of n trials at ``p``.
 
@@ -131,13 +135,14 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def cutoffs(figures: DataFrame, labels: DataFrame) -> DataFrame:
     """``stratum`` and a certified cutoff for each rule, null where none could be certified.
 
-    A quarter of the labelled texts, by a hash of the id, proposes: quantiles of its good texts
-    are the cutoffs tried for each stratum and rule. On the other three quarters a proposal is
+    Only texts that pass the base rules count, as the others are rejected anyway. A quarter of the
+    labelled texts, by a hash of the id, proposes: quantiles of its good texts are the cutoffs tried for each stratum and rule. On the other three quarters a proposal is
     accepted only if its false rejections would be this few with small probability were its true
     rate above the rule's share of ``LIMIT``: an exact binomial test at level (1 - CONFIDENCE) /
     (strata * rules), Bonferroni's correction. The cutoffs of one stratum and rule are tested
     from the highest down and the first failure ends that, a fixed sequence, which needs no
-    correction of its own. Of those accepted the lowest that rejects a bad text stands. The rules'
+    correction of its own. Of those accepted the lowest that rejects a larger share of the bad texts
+    than of the good ones stands; a rule without one rejects nothing. The rules'
     shares add up to ``LIMIT``, so that bounds the false rejections of all rules together. There
     are as many rows as strata, whatever the input.
     """
@@ -145,7 +150,8 @@ def cutoffs(figures: DataFrame, labels: DataFrame) -> DataFrame:
         F.max("quality").alias("quality")
     )
     rows = (
-        figures.select("doc_id", _stratum().alias("stratum"), *[
+        figures.filter(~_base_failed())
+        .select("doc_id", _stratum().alias("stratum"), *[
             F.expr(e).alias(r) for r, e in RULES.items()
         ])
         .join(marks, "doc_id")
@@ -171,6 +177,7 @@ def cutoffs(figures: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(
             F.count_if(good).alias("n"),
             F.count_if(good & over).alias("false"),
+            F.count_if(~good).alias("bad"),
             F.count_if(~good & over).alias("true"),
         )
     )
@@ -181,7 +188,7 @@ def cutoffs(figures: DataFrame, labels: DataFrame) -> DataFrame:
     down = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))
     return (
         tests.withColumn("safe", F.min(passed).over(down))
-        .filter(F.col("safe") & (F.col("true") > 0))
+        .filter(F.col("safe") & (F.col("true") * F.col("n") > F.col("false") * F.col("bad")))
         .groupBy("stratum")
         .pivot("rule", list(RULES))
         .agg(F.min("cutoff"))
@@ -204,11 +211,10 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
             *[F.when(F.expr(e) > F.col(f"most_{r}"), F.lit(r)) for r, e in RULES.items()]
         )
     )
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         figures.join(F.broadcast(limits), _stratum() == F.col("of"), "left")
         .withColumn("reasons", reasons)
-        .withColumn("base_failed", base)
-        .withColumn("kept", ~base & (F.size("reasons") == 0))
+        .withColumn("base_failed", _base_failed())
+        .withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
         .drop("of", *[f"most_{r}" for r in RULES])
     )

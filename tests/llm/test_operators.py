@@ -341,7 +341,7 @@ def _judged_by_hand(docs, marks):
         for rule in rules.RULES:
             parts = {(f, g): [] for f in (0, 1) for g in (0, 1)}
             for d, g in marks:
-                if figures[d][0] == stratum:
+                if figures[d][0] == stratum and not figures[d][1]:
                     parts[min(zlib.crc32(str(d).encode()) % 4, 1), g].append(figures[d][2][rule])
             tried = sorted(parts[0, 1])
             n = len(parts[1, 1])
@@ -352,7 +352,8 @@ def _judged_by_hand(docs, marks):
                 chances = (comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(wrong + 1))
                 if wrong >= share * n or sum(chances) > level:
                     break
-                if any(x > cut for x in parts[1, 0]):
+                right = sum(x > cut for x in parts[1, 0])
+                if right * n > wrong * len(parts[1, 0]):
                     most[stratum, rule] = cut
     return most, {
         d: not failed and all(x <= most.get((s, r), x) for r, x in f.items())
