@@ -72,9 +72,9 @@ def occurrences(failures: DataFrame, payload: tuple[str, ...] = PAYLOAD) -> Data
 def unseen(occ: DataFrame, ledger: DataFrame, runs: DataFrame) -> DataFrame:
     """JN-6: drop occurrences that the ledger holds.
 
-    A batch covers few runs of a long history, so the ledger is cut to ``runs`` (the distinct
-    run ids of the batch) before it is shuffled; adaptive execution broadcasts that list when
-    its measured size allows.
+    ``ledger`` comes from the files that hold any of ``runs`` (the distinct run ids of the batch)
+    and is cut to those before it is shuffled; adaptive execution broadcasts that list when its
+    measured size allows.
     """
     known = ledger.select(*KEY).join(runs, "run_id", "left_semi")
     return occ.join(known, list(KEY), "left_anti")

@@ -50,8 +50,6 @@ def ingest(
     if pending is not None:
         kb.write_pending(data, pending)
         bases.append("pending")
-    # runs have ascending numbers: the range of the batch skips the files of other times
-    low, high = stored.agg(F.min("run_id"), F.max("run_id")).first()
     found = frozen(fold.occurrences(stored))
     batch_runs = stored.select("run_id").distinct()
 
@@ -62,14 +60,13 @@ def ingest(
 
     while True:
         known = kb.patterns(state)
-        ledger = kb.grown("occurrences").filter(F.col("run_id").between(low, high))
-        occ = kb.write("occurrences", data, fold.unseen(found, ledger, batch_runs))
+        ledger = kb.ledger(state, batch_runs)
+        occ = kb.write_ledger(data, fold.unseen(found, ledger, batch_runs))
         delta = fold.fold(occ, fold.signatures(stored), batch=state.version + 1)
         for name, table in delta.tables().items():
             kb.write(name, data, table)
-        if kb.commit(
-            state, data, list(PATTERN_TABLES), bases, True, source, batch_id, conflict=overlap
-        ):
+        deltas = [*PATTERN_TABLES, "ledger_files"]
+        if kb.commit(state, data, deltas, bases, True, source, batch_id, conflict=overlap):
             break
         if batch_id >= 0 and kb.has_batch(source, batch_id):
             return None
@@ -208,11 +205,10 @@ def import_documents(kb: KnowledgeBase, docs: DataFrame) -> None:
     data = kb.new_data(state)
     ledger = ledger_of(docs)
     kb.write("failures", data, kb.spark.createDataFrame([], FAILURES))
-    kb.write("occurrences", data, ledger)
+    kb.write_ledger(data, ledger)
     kb.write("runs_seen", data, ledger.select("run_id").distinct())
     for name, table in fold.folded(patterns_of(docs)).tables().items():
         kb.write(name, data, table)
-    if not kb.commit(
-        state, data, list(PATTERN_TABLES), appended=True, conflict=lambda others: True
-    ):
+    deltas = [*PATTERN_TABLES, "ledger_files"]
+    if not kb.commit(state, data, deltas, appended=True, conflict=lambda others: True):
         raise ValueError(f"{kb.root} is no longer empty")

@@ -4,7 +4,8 @@ A job writes its rows into new ``version=ID`` folders and then publishes them wi
 file, so readers see all of a job or nothing of it and a lost job can simply run again. No table
 is rewritten by a batch: a pattern table is a base and the deltas since, in buckets by signature,
 and reading folds them. ``compact`` turns them into a new base. ``failures``, ``occurrences`` (the
-ledger), ``runs_seen`` and ``skipped`` only grow.
+ledger), ``runs_seen`` and ``skipped`` only grow. ``ledger_files``, kept as bases and deltas too,
+names the ledger files of each run, so a batch opens only those that hold one of its runs.
 
 Several writers may work at once. A commit file is created under the next number only if that
 number is free; a writer who comes second looks at what was committed meanwhile. Deltas of
@@ -37,10 +38,12 @@ _GROWING = {
     "runs_seen": schemas.RUNS_SEEN,
     "skipped": schemas.SKIPPED,
 }
-# what tables are sorted by; runs are met again by range, so the ledger is sorted by run
-_SORT = {"occurrences": "run_id"}
+# what tables are sorted by; the ledger is met again by run
+_SORT = {"occurrences": "run_id", "ledger_files": "run_id"}
 _SORT_ELSE = "signature_hash"
 
+_STORED = {**_GROWING, **schemas.PATTERN_TABLES, "ledger_files": schemas.LEDGER_FILES}
+
 BUCKETS = 16  # of pattern tables; a lookup reads one
 DELTAS = 20  # after so many, an ingest compacts
 KEPT = 5  # commits whose tables stay on disk after a compaction, for readers of older states
@@ -105,7 +108,7 @@ class KnowledgeBase:
 
     def read_data(self, table: str, data: int) -> DataFrame:
         """The rows that one job wrote."""
-        schema = _GROWING.get(table) or schemas.PATTERN_TABLES[table]
+        schema = _STORED[table]
         return self._read(f"{table}/version={data}", schema).drop("bucket")
 
     def _parts(self, state: State, bucket: Column | None = None) -> Patterns:
@@ -154,6 +157,25 @@ class KnowledgeBase:
         """SRC-8."""
         return self.grown("runs_seen").distinct()
 
+    def _ledger_files(self, state: State) -> DataFrame:
+        folders = [f"{self.root}/ledger_files/version={d}" for d in state.tables.get("ledger_files", [])]
+        if not folders:
+            return self.spark.createDataFrame([], schemas.LEDGER_FILES)
+        return self.spark.read.schema(schemas.LEDGER_FILES).parquet(*folders)
+
+    def ledger(self, state: State, runs: DataFrame) -> DataFrame:
+        """JN-6: the rows of the ledger files that hold any of ``runs``; no other file is opened.
+
+        The index is exact, so a run that is not in yet opens nothing. Only names of files pass the
+        driver, which lists what a scan reads in any case.
+        """
+        held = self._ledger_files(state).join(runs.select("run_id"), "run_id", "left_semi")
+        names = [r["file"] for r in held.select("file").distinct().collect()]
+        if not names:
+            return self.spark.createDataFrame([], schemas.OCCURRENCES)
+        files = [f"{self.root}/occurrences/{n}" for n in names]
+        return self.spark.read.schema(schemas.OCCURRENCES).parquet(*files)
+
     def pending(self, schema: str) -> DataFrame:
         """Parsed records of a stream whose run or artifact has not landed yet."""
         (data,) = self.state().tables.get("pending") or [0]
@@ -167,7 +189,7 @@ class KnowledgeBase:
 
     def write(self, table: str, data: int, df: DataFrame) -> DataFrame:
         """Write one table of a job and return it as stored."""
-        schema = _GROWING.get(table) or schemas.PATTERN_TABLES[table]
+        schema = _STORED[table]
         columns = self.spark.createDataFrame([], schema).columns
         out = df.select(*columns)
         by = []
@@ -175,12 +197,23 @@ class KnowledgeBase:
             by = ["bucket"]
             # few files to a bucket, more where one is large
             out = out.withColumn("bucket", _bucket(F.col("signature_hash"))).hint("rebalance", "bucket")
+        elif table in _SORT:
+            # a run lies in one file, or in several where it is large
+            out = out.hint("rebalance", _SORT[table])
         key = _SORT.get(table, _SORT_ELSE)
         if key in columns:
             out = out.sortWithinPartitions(*by, key)
         out.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{table}/version={data}")
         return self.read_data(table, data)
 
+    def write_ledger(self, data: int, occurrences: DataFrame) -> DataFrame:
+        """Write a job's part of the ledger and the index of its runs; gives it as stored."""
+        stored = self.write("occurrences", data, occurrences)
+        name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
+        file = F.concat(F.lit(f"version={data}/"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
+        self.write("ledger_files", data, stored.select("run_id", file.alias("file")).distinct())
+        return stored
+
     def write_pending(self, data: int, records: DataFrame) -> None:
         records.write.mode("overwrite").parquet(f"{self.root}/pending/version={data}")
 
@@ -286,11 +319,11 @@ class KnowledgeBase:
         meets another base leaves everything to that. Deltas that come in meanwhile stay.
         """
         state = self.state()
-        names = [t for t in schemas.PATTERN_TABLES if len(state.tables.get(t, [])) > 1]
+        tables = {**self.patterns(state).tables(), "ledger_files": self._ledger_files(state)}
+        names = [t for t in tables if len(state.tables.get(t, [])) > 1]
         if not names:
             return False
         data = self.new_data(state)
-        tables = self.patterns(state).tables()
         for name in names:
             self.write(name, data, tables[name])
         done = self.commit(state, data, bases=names)
@@ -308,7 +341,7 @@ class KnowledgeBase:
         named = {(r["table"], r["id"]): r["last"] for r in last}
         api, files, _ = self._hadoop()
         dropped = 0
-        for table in [*schemas.PATTERN_TABLES, "pending"]:
+        for table in [*schemas.PATTERN_TABLES, "ledger_files", "pending"]:
             folder = api.Path(f"{self.root}/{table}")
             if not files.exists(folder):
                 continue

@@ -50,6 +50,8 @@ PATTERN_TABLES = {
     "recent": RECENT,
 }
 RUNS_SEEN = "run_id bigint"
+# which file of the ledger holds occurrences of a run; ``file`` counts from the ledger's folder
+LEDGER_FILES = "run_id bigint, file string"
 SKIPPED = "run_id bigint, artifact_id bigint, filename string, error string"
 # ``data`` names the folders a commit wrote; ``tables`` has the folders that make up each pattern
 # table from this commit on, the first of them the base and the others deltas.

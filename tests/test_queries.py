@@ -77,19 +77,6 @@ def test_every_rule_and_cap_has_data(spark):
     assert any(len(r["head_sha"]) > 12 for r in rows)
 
 
-def test_the_ledger_is_read_by_the_range_of_runs(spark, tmp_path):
-    from helpers import failures
-
-    from failsig.plans import jobs
-    from failsig.sources.knowledge_base import KnowledgeBase
-
-    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
-    jobs.ingest(kb, failures(spark, {"run_id": 5}))
-    near = kb.grown("occurrences").filter("run_id between 5 and 6")
-    text = near._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(run_id,5)" in text
-
-
 def test_recent_runs_are_cut_before_the_shuffle(spark):
     text = plan(spark, "recent_runs")
     assert text.index("WindowGroupLimit") < text.rindex("Exchange hashpartitioning(signature_hash")

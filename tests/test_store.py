@@ -108,6 +108,36 @@ def test_a_lookup_opens_one_bucket(spark, tmp_path):
         assert scans and all("(bucket#" in line and "EqualTo(signature_hash," in line for line in scans)
 
 
+def test_a_batch_opens_only_the_ledger_files_of_its_runs(spark, tmp_path):
+    """One very old and one new run open two files, whatever lies between them."""
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    for k in range(1, 6):
+        jobs.ingest(kb, batch(spark, k))
+
+    def opened(*runs):
+        wanted = spark.createDataFrame([(r,) for r in runs], "run_id long")
+        return kb.ledger(kb.state(), wanted).inputFiles()
+
+    old_and_new = opened(10, 51)
+    assert len(old_and_new) == 2
+    both = spark.read.parquet(*old_and_new)
+    assert both.filter("run_id in (10, 51)").count() == (
+        kb.grown("occurrences").filter("run_id in (10, 51)").count()
+    )
+    assert opened(999) == [] and len(opened(20, 20, 999)) == 1
+    assert kb.compact() and len(kb.state().tables["ledger_files"]) == 1
+    assert sorted(opened(10, 51)) == sorted(old_and_new)
+    # a batch across all times counts what is new in it and nothing twice
+    mixed = batch(spark, 1).union(batch(spark, 6))
+    jobs.ingest(kb, mixed)
+    counts = {r["signature_hash"]: r["count"] for r in kb.patterns().core.collect()}
+    df = batch(spark, 1)
+    for k in range(2, 7):
+        df = df.union(batch(spark, k))
+    expected = fold.pattern_counts(fold.occurrences(df)).collect()
+    assert counts == {r["signature_hash"]: r["count"] for r in expected}
+
+
 def test_a_lost_compaction_changes_nothing(spark, tmp_path, monkeypatch):
     kb = KnowledgeBase(spark, str(tmp_path / "kb"))
     for k in (1, 2, 3):
@@ -125,7 +155,7 @@ def test_a_lost_compaction_changes_nothing(spark, tmp_path, monkeypatch):
     assert len(folders(kb.root, "core")) == 4
     # the folder it left goes when it is old
     monkeypatch.setattr(knowledge_base, "ORPHANED", -1)
-    assert kb.clean() == len(PATTERN_TABLES)
+    assert kb.clean() == len(PATTERN_TABLES) + 1  # and the index of the ledger
     assert len(folders(kb.root, "core")) == 3 and rows(kb.patterns()) == before
 
 
