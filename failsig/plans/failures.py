@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dimensions import artifact_axes, dim_label
 from ..functions.normalize import with_fingerprint
 from ..operators.parse import BATS, GINKGO, parse_logs
-from ..operators.scale import salted_join
+from ..operators.scale import by_merge, salted_join
 from ..sources.ci import log_artifacts
 
 LOG_KEY = ["run_id", "artifact_id"]
@@ -36,7 +36,8 @@ def run_artifacts(runs: DataFrame, artifacts: DataFrame, suite: str | None = Non
 
 def runs_covered(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """AGG-12: runs that have at least one log artifact, whatever its suite."""
-    return runs.select("run_id").join(log_artifacts(artifacts), "run_id", "left_semi").distinct()
+    held = by_merge(log_artifacts(artifacts).select("run_id"))
+    return runs.select("run_id").join(held, "run_id", "left_semi").distinct()
 
 
 def _seq():

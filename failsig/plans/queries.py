@@ -18,7 +18,7 @@ from ..functions.text import blank_if_null
 from ..operators import categorize, fold, index, links, report
 from ..operators.long_logs import long_log_records
 from ..operators.parse import parse_logs
-from ..operators.scale import frozen, salted_join, scratch
+from ..operators.scale import by_merge, frozen, salted_join, scratch
 from ..sources import schemas
 from ..sources.ci import (
     failed_jobs,
@@ -32,7 +32,7 @@ from ..sources.knowledge_base import KnowledgeBase
 from ..sources.tree import TEST_DIRS, source_lines
 from ..streaming.ingest import stream_failures, stream_logs
 from . import jobs
-from .derived import PATTERN_REPLY, apply_view, log_html, log_text, table, view
+from .derived import PATTERN_REPLY, apply_view, log_html, log_texts, table, view
 from .failures import log_failures, run_artifacts, runs_covered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,10 +100,7 @@ def _linked(patterns: fold.Patterns, markers: DataFrame) -> fold.Patterns:
 
 def _logs(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """run_id and html of one log per run, the text of the named views one after the other."""
-    logs = None
-    for name in names:
-        text = log_text(view(spark, sf_dir, name)).withColumnRenamed("text", name)
-        logs = text if logs is None else logs.join(text, "run_id")
+    logs = log_texts(spark, sf_dir, *names)
     return logs.select("run_id", log_html(F.concat(*names)).alias("html"))
 
 
@@ -567,7 +564,7 @@ def _job_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     first = artifacts.groupBy("run_id").agg(F.min("artifact_id").alias("artifact_id"))
     logs = (
         _logs(spark, sf_dir, "lines_v", "blocks_v")
-        .join(first, "run_id")
+        .join(by_merge(first), "run_id")
         .select(
             "run_id",
             "artifact_id",
@@ -618,13 +615,11 @@ def _zipper():
 @query
 def zip_log_ingest(spark, sf_dir):
     """SRC-3, UDF-2, JN-4, PRJ-2: every log artifact is an archive of two logs of its run."""
-    texts = None
-    for name in ("lines_v", "blocks_v"):
-        text = log_text(view(spark, sf_dir, name))
-        text = text.select(F.col("run_id"), log_html(F.col("text")).alias(name))
-        texts = text if texts is None else texts.join(text, "run_id")
+    kinds = ("lines_v", "blocks_v")
+    texts = log_texts(spark, sf_dir, *kinds)
+    texts = texts.select("run_id", *[log_html(F.col(name)).alias(name) for name in kinds])
     artifacts = _one_name(view(spark, sf_dir, "artifacts_v"))
-    held = artifacts.select("run_id", "artifact_id").join(texts, "run_id")
+    held = artifacts.select("run_id", "artifact_id").join(by_merge(texts), "run_id")
     archives = held.select("run_id", "artifact_id", _zipper()("lines_v", "blocks_v").alias("content"))
     runs = failed_runs(view(spark, sf_dir, "runs_v"), limit=None)
     logs = unzipped(archives).filter("error IS NULL").drop("error")
