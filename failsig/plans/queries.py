@@ -23,8 +23,8 @@ from ..sources import schemas
 from ..sources.ci import (
     failed_jobs,
     failed_runs,
+    html_logs,
     log_artifacts,
-    read_html_logs,
     unzipped,
 )
 from ..sources.documents import patterns_of, read_documents, write_documents
@@ -658,7 +658,7 @@ def landed_log_ingest(spark, sf_dir):
     wanted = run_artifacts(runs, artifacts).count()
     jobs.ingest_logs(
         kb,
-        lambda keys: read_html_logs(spark, f"{root}/logs", keys, "*.txt"),
+        html_logs(spark, f"{root}/logs", "*.txt"),
         runs,
         artifacts,
         per_commit=max(-(-wanted // 3), 1),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +104,27 @@ def _only(files: DataFrame, wanted: Keys | None) -> DataFrame:
     return files.filter(F.col("run_id").isin(runs) & F.col("artifact_id").isin(artifacts))
 
 
+def html_logs(
+    spark: SparkSession, path: str, files: str = "*.html"
+) -> Callable[[Keys | None], DataFrame]:
+    """:func:`read_html_logs` of any number of slices: the folders are listed once, here."""
+    found = spark.read.option("pathGlobFilter", files).text(path, wholetext=True)
+    named = found.withColumn("filename", F.substring_index(_file_path(), "/", -1))
+
+    def read(wanted: Keys | None = None) -> DataFrame:
+        return _ids_from_path(
+            _only(named, wanted).select(
+                "run_id",
+                "artifact_id",
+                F.lit(0).alias("file_ord"),
+                "filename",
+                F.make_valid_utf8("value").alias("html"),
+            )
+        )
+
+    return read
+
+
 def read_html_logs(
     spark: SparkSession, path: str, wanted: Keys | None = None, files: str = "*.html"
 ) -> DataFrame:
@@ -112,17 +133,7 @@ def read_html_logs(
     ``wanted`` names the (run, artifact) pairs to read, by default all. Given as pairs, others may
     still come where both of their ids are wanted, which the join with the artifacts drops.
     """
-    found = spark.read.option("pathGlobFilter", files).text(path, wholetext=True)
-    named = found.withColumn("filename", F.substring_index(_file_path(), "/", -1))
-    return _ids_from_path(
-        _only(named, wanted).select(
-            "run_id",
-            "artifact_id",
-            F.lit(0).alias("file_ord"),
-            "filename",
-            F.make_valid_utf8("value").alias("html"),
-        )
-    )
+    return html_logs(spark, path, files)(wanted)
 
 
 def log_lines(

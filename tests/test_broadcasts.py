@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from failsig.operators import scale
+from failsig.plans import queries
 from failsig.plans.derived import log_texts
 from failsig.plans.queries import QUERIES
+from failsig.sources.ci import html_logs, read_html_logs
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +69,26 @@ def test_salted_join_broadcasts_neither_side(spark):
     joined = scale.salted_join(left, right, "k", spread="id")
     assert "Broadcast" not in plan(joined)
     assert joined.count() == 100
+
+
+def test_landed_logs_come_of_no_broadcast(spark, tables):
+    logs, _, _ = queries._job_inputs(spark, tables)
+    assert "BroadcastExchange" not in plan(logs)
+    assert sorted(r.run_id for r in logs.collect()) == [0, 1, 2]
+
+
+def test_folders_are_listed_once_for_all_slices(spark, tmp_path):
+    def land(artifact):
+        folder = tmp_path / "run_id=1" / f"artifact_id={artifact}"
+        folder.mkdir(parents=True)
+        (folder / "log.html").write_text(f"log {artifact}")
+
+    for artifact in (1, 2):
+        land(artifact)
+    read = html_logs(spark, str(tmp_path))
+    land(3)  # a second listing would find it
+    for artifact in (1, 2):
+        keys = spark.createDataFrame([(1, artifact)], "run_id bigint, artifact_id bigint")
+        whole = read_html_logs(spark, str(tmp_path), keys)
+        assert read(keys).collect() == whole.collect()
+    assert read(None).count() == 2
