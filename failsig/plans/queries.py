@@ -18,7 +18,7 @@ from ..functions.text import blank_if_null
 from ..operators import categorize, fold, index, links, report
 from ..operators.long_logs import long_log_records
 from ..operators.parse import parse_logs
-from ..operators.scale import by_merge, frozen, salted_join, scratch
+from ..operators.scale import by_merge, frozen, release, salted_join, scratch
 from ..sources import schemas
 from ..sources.ci import (
     failed_jobs,
@@ -341,10 +341,12 @@ def document_roundtrip(spark, sf_dir):
 
 
 def _knowledge(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
-    """A knowledge base after two overlapping ingests."""
+    """A knowledge base after two overlapping ingests, of failures that are fingerprinted once."""
     kb = KnowledgeBase(spark, scratch(spark))
-    for window in _windows(_stored_form(_failures(spark, sf_dir))):
+    failures = frozen(_stored_form(_failures(spark, sf_dir)))
+    for window in _windows(failures):
         jobs.ingest(kb, window)
+    release(failures)
     return kb
 
 

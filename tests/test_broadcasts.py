@@ -92,3 +92,15 @@ def test_folders_are_listed_once_for_all_slices(spark, tmp_path):
         whole = read_html_logs(spark, str(tmp_path), keys)
         assert read(keys).collect() == whole.collect()
     assert read(None).count() == 2
+
+
+def test_a_failure_of_two_windows_is_fingerprinted_once(spark, tables, monkeypatch):
+    plans, ingest = [], queries.jobs.ingest
+
+    def seen(kb, window, *more):
+        plans.append(plan(window))
+        return ingest(kb, window, *more)
+
+    monkeypatch.setattr(queries.jobs, "ingest", seen)
+    assert QUERIES["kb_runs_seen"](spark, tables).count()
+    assert len(plans) == 2 and not any("regexp_replace" in p for p in plans)
