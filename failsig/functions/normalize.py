@@ -1,17 +1,18 @@
 """NRM-1..17 and SIG-1..3: from error text to a stable signature hash.
 
-Everything is a chain of built-in string functions on one column, so it runs inside the scan
-stage and needs no Python worker.
+Everything is a chain of replacements on one column, so it runs inside the scan stage.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import blank_if_null, first_chars, java_regex, strip
+from .text import WHITESPACE, blank_if_null, first_chars, is_ascii, java_regex, re2_regex, strip
 
 # Fixed values: (pattern, replacement, case-insensitive), applied in this order. Hashes depend
 # on every character here. "\1" in a replacement is the first group.
@@ -43,8 +44,29 @@ RULES: list[tuple[str, str, bool]] = [
 HASH_CHARS = 16
 
 
+def _ascii_normalizer():
+    # local, so that it ships by value and workers need not have this package installed
+    rules = [(re2_regex(p, "i" if i else ""), r) for p, r, i in RULES if p != r"\s+"]
+    # a blank that stands alone stays as it is
+    rules.append((re2_regex(r"[\t-\r\x1c-\x1f]\s*| \s+"), " "))
+    space = "".join(c for c in WHITESPACE if c.isascii())
+
+    def clean(text: pa.Array) -> pa.Array:
+        text = pc.ascii_trim(text, characters=space)
+        for pattern, replacement in rules:
+            text = pc.replace_substring_regex(text, pattern, replacement)
+        return pc.ascii_trim(text, characters=space)
+
+    return F.arrow_udf(clean, "string")
+
+
 def normalize(text: Column) -> Column:
-    """Strip, replace every run-to-run token in rule order, strip again."""
+    """Strip, replace every run-to-run token in rule order, strip again.
+
+    ASCII texts, which replacements keep so, go to Arrow's RE2 by batches: it looks for the next
+    match byte by byte in a table, where Java's classes for Python's Unicode semantics cost ten
+    times as much. All others cross as nulls and take the native chain.
+    """
 
     def step(c: Column, rule: tuple[str, str, bool]) -> Column:
         pattern, replacement, ignore_case = rule
@@ -54,7 +76,8 @@ def normalize(text: Column) -> Column:
             replacement.replace("\\1", "$1"),
         )
 
-    return strip(reduce(step, RULES, strip(text)))
+    native = strip(reduce(step, RULES, strip(text)))
+    return F.coalesce(_ascii_normalizer()(F.when(is_ascii(text), text)), native)
 
 
 def signature(test_name: Column, error_excerpt: Column) -> Column:

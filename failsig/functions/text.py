@@ -37,6 +37,13 @@ _OUTSIDE = {
 # Java looks behind one UTF-16 unit unless the lookbehind holds a supplementary character; this
 # one is a digit, so it adds nothing to the class.
 _WORD_STARTS = f"(?<![{_WORD}\U0001d7d8])"
+# On ASCII, RE2's own classes are Python's, all but white space.
+_ASCII_SPACE = r"\t-\r\x1c-\x20"
+
+
+def is_ascii(c: Column) -> Column:
+    """Whether all characters take one byte, so that there is one for each byte."""
+    return (F.octet_length(c) == F.char_length(c)) & F.is_valid_utf8(c)
 
 
 def java_regex(pattern: str, flags: str = "") -> str:
@@ -55,11 +62,17 @@ def java_regex(pattern: str, flags: str = "") -> str:
     return f"(?d{flags}){opening}{_spelled(rest)}"
 
 
-def _spelled(pattern: str) -> str:
+def re2_regex(pattern: str, flags: str = "") -> str:
+    """The same pattern for RE2, for texts of which :func:`is_ascii` holds."""
+    space = {"\\s": f"[{_ASCII_SPACE}]", "\\S": f"[^{_ASCII_SPACE}]"}
+    return (f"(?{flags})" if flags else "") + _spelled(pattern, space, {"\\s": _ASCII_SPACE})
+
+
+def _spelled(pattern: str, outside: dict = _OUTSIDE, inside: dict = _INSIDE) -> str:
     in_class = False
     out = []
     for token in re.findall(r"\\.|[^\\]", pattern, re.DOTALL):
-        out.append((_INSIDE if in_class else _OUTSIDE).get(token, token))
+        out.append((inside if in_class else outside).get(token, token))
         if token == "[":
             in_class = True
         elif token == "]":
