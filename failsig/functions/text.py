@@ -24,7 +24,9 @@ LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 LINE_BREAK = rf"\r\n|[{LINE_ENDS}]"
 
 _SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
-_INDENT = f"[{_SPACE}&&[^{LINE_ENDS}]]"
+# white space within a line, and anything within a line: ASCII is taken by a single range
+_INDENT = r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+_TO_LINE_END = rf"[ -~]*+(?:[^{LINE_ENDS}][ -~]*+)*+"
 _WORD = r"\p{L}\p{N}_"
 _INSIDE = {"\\d": r"\p{Nd}", "\\s": _SPACE, "\\w": _WORD}
 _OUTSIDE = {
@@ -104,13 +106,14 @@ def pack_lines(c: Column) -> Column:
 
     The same as splitting, stripping, filtering and joining, in one pass over the text.
     """
-    edge = rf"(?<!{_INDENT}){_INDENT}*+[{LINE_ENDS}][{_SPACE}]*+"
+    # what comes before a character is looked at only where a run of blanks begins
+    edge = rf"(?:[{LINE_ENDS}]|{_INDENT}(?<!{_INDENT}{{2}}){_INDENT}*+[{LINE_ENDS}])[{_SPACE}]*+"
     return strip(F.regexp_replace(c, edge, "\n"))
 
 
 def lines_after(c: Column, mark: str) -> Column:
     """Array of what follows ``mark`` on each line that starts with it, indented or not."""
-    line = rf"(?:\A|[{LINE_ENDS}]){_INDENT}*+{re.escape(mark)}([^{LINE_ENDS}]*+)"
+    line = rf"(?:\A|[{LINE_ENDS}]){_INDENT}*+{re.escape(mark)}({_TO_LINE_END})"
     return F.regexp_extract_all(c, F.lit(line), F.lit(1))
 
 
