@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import categorize, fold, index, links, report
-from ..operators.scale import frozen, release, with_position
+from ..operators.scale import by_merge, frozen, release, with_position
 from ..sources.documents import ledger_of, patterns_of, write_documents
 from ..sources.knowledge_base import DELTAS, KnowledgeBase
 from ..sources.schemas import FAILURES, PATTERN_TABLES
-from .failures import parse_without_suite, record_failures, run_artifacts, runs_covered
+from .failures import LOG_KEY, parse_without_suite, record_failures, run_artifacts, runs_covered
 
 
 def ingest(
@@ -114,7 +114,10 @@ def ingest_logs(
         bad = records.filter("error IS NOT NULL").select(
             "run_id", "artifact_id", "filename", "error"
         )
-        failures = record_failures(records.filter("error IS NULL").drop("error"), part)
+        # most artifacts may have no log or no record, and the join below repeats each
+        met = by_merge(records.select(*LOG_KEY).distinct())
+        held = part.join(met, LOG_KEY, "left_semi")
+        failures = record_failures(records.filter("error IS NULL").drop("error"), held)
         found = ingest(kb, failures, part.select("run_id").distinct(), skipped=bad)
         stats.append(tuple(found.first()))
         release(records)

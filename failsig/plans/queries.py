@@ -24,6 +24,7 @@ from ..sources.ci import (
     failed_jobs,
     failed_runs,
     html_logs,
+    land_logs,
     log_artifacts,
     unzipped,
 )
@@ -560,9 +561,15 @@ def _one_name(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def _job_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Logs, failed runs and artifacts; the first log artifact of a run carries its log."""
+def _job_inputs(
+    spark: SparkSession, sf_dir: str, stored: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Logs, failed runs and artifacts; the first log artifact of a run carries its log.
+
+    Artifacts that are met several times are better ``stored`` than grouped each time.
+    """
     artifacts = _one_name(view(spark, sf_dir, "artifacts_v"))
+    artifacts = frozen(artifacts) if stored else artifacts
     first = artifacts.groupBy("run_id").agg(F.min("artifact_id").alias("artifact_id"))
     logs = (
         _logs(spark, sf_dir, "lines_v", "blocks_v")
@@ -650,12 +657,10 @@ def stream_late_runs(spark, sf_dir):
 def landed_log_ingest(spark, sf_dir):
     """SRC-1..3, SRC-8, SNK-1, JN-6, AGG-12: the whole job over log files in folders, in slices of
     a third of the artifacts, most files being of runs that didn't fail."""
-    logs, runs, artifacts = _job_inputs(spark, sf_dir)
+    logs, runs, artifacts = _job_inputs(spark, sf_dir, stored=True)
     every = view(spark, sf_dir, "runs_v").select("run_id")
     root = scratch(spark)
-    logs.join(every, "run_id", "left_semi").select("run_id", "artifact_id", "html").write.partitionBy(
-        "run_id", "artifact_id"
-    ).text(f"{root}/logs")
+    land_logs(logs.join(every, "run_id", "left_semi"), f"{root}/logs", "log.txt")
     kb = KnowledgeBase(spark, f"{root}/kb")
     wanted = run_artifacts(runs, artifacts).count()
     jobs.ingest_logs(

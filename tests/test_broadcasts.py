@@ -9,7 +9,7 @@ from failsig.operators import scale
 from failsig.plans import queries
 from failsig.plans.derived import log_texts
 from failsig.plans.queries import QUERIES
-from failsig.sources.ci import html_logs, read_html_logs
+from failsig.sources.ci import html_logs, land_logs, read_html_logs
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +94,43 @@ def test_folders_are_listed_once_for_all_slices(spark, tmp_path):
     assert read(None).count() == 2
 
 
+def test_landed_files_are_read_back_by_key(spark, tmp_path):
+    """Also where names need escapes, ids are missing, and wanted ids are wider than those there."""
+    root = str(tmp_path / "a b%41+c")
+    rows = [(1, 10, "one\ntwo é"), (2, 20, None), (2, 21, "x"), (3, None, "y")]
+    schema = "run_id bigint, artifact_id bigint, html string"
+    land_logs(spark.createDataFrame(rows, schema), root, "log.txt")
+    read = html_logs(spark, root, "*.txt")
+    found = sorted(map(tuple, read(None).select("run_id", "artifact_id", "html").collect()), key=str)
+    assert found == [(1, 10, "one\ntwo é\n"), (2, 20, "\n"), (2, 21, "x\n"), (3, None, "y\n")]
+    keys = [(1, 10), (2, 21), (3, None), (5_000_000_000, 50_000_000_000)]
+    wanted = spark.createDataFrame(keys, "run_id bigint, artifact_id bigint")
+    kept = read(wanted)
+    assert sorted((r.run_id, r.html) for r in kept.collect()) == [(1, "one\ntwo é\n"), (2, "x\n")]
+    assert kept.select("filename").distinct().collect() == [("log.txt",)]
+    assert read(wanted.filter("run_id > 3")).count() == 0
+    # other files are not opened: they may be gone
+    (tmp_path / "a b%41+c/run_id=2/artifact_id=20/log.txt").unlink()
+    assert kept.count() == 2
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    rows = spark.range(70).select(
+        (F.col("id") % 35).alias("run_id"), F.col("id").alias("artifact_id"), F.lit("x").alias("html")
+    )
+    land_logs(rows, str(tmp_path))
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        read = html_logs(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setJobGroup("others", "others")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+    stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 8 * spark.sparkContext.defaultParallelism
+    assert read(None).select("artifact_id").distinct().count() == 70
+
+
 def test_a_failure_of_two_windows_is_fingerprinted_once(spark, tables, monkeypatch):
     plans, ingest = [], queries.jobs.ingest
 
