@@ -121,7 +121,7 @@ def _listed(found: DataFrame) -> DataFrame:
     return frozen(DataFrame(rows.toDF(), spark).select(_one_form(path).alias("path"), *_ids(path)))
 
 
-def _only(found: DataFrame, wanted: Keys | None, listed: DataFrame | None = None) -> DataFrame:
+def _wanted(found: DataFrame, wanted: Keys | None, listed: DataFrame | None = None) -> DataFrame:
     """The files of the wanted artifacts; others are not opened.
 
     Of a table of keys only the paths of files that exist pass the driver, which lists them in any
@@ -142,6 +142,35 @@ def _only(found: DataFrame, wanted: Keys | None, listed: DataFrame | None = None
     return found.filter(run.isin({r for r, _ in pairs}) & artifact.isin({a for _, a in pairs}))
 
 
+def _ids_from_path(files: DataFrame) -> DataFrame:
+    """``run_id`` and ``artifact_id`` come from ``run_id=.../artifact_id=...`` folders."""
+    return files.select(
+        F.col("run_id").cast("bigint"),
+        F.col("artifact_id").cast("bigint"),
+        *[c for c in files.columns if c not in ("run_id", "artifact_id")],
+    )
+
+
+def _only(files: DataFrame, wanted: Keys | None) -> DataFrame:
+    """The folders of the wanted artifacts; files of other folders are not opened.
+
+    A table of keys is broadcast and prunes the folders when the scan starts, so the keys never
+    pass the driver; give a bounded part of a larger one that has a filter of its own, as
+    ``ingest_logs`` does.
+    """
+    if wanted is None:
+        return files
+    if isinstance(wanted, DataFrame):
+        # the folders' numbers have whatever width they were inferred to have
+        keys = wanted.select(
+            *[F.col(c).cast(files.schema[c].dataType).alias(c) for c in ("run_id", "artifact_id")]
+        )
+        return files.join(F.broadcast(keys), ["run_id", "artifact_id"], "left_semi")
+    pairs = list(wanted)
+    runs, artifacts = {r for r, _ in pairs}, {a for _, a in pairs}
+    return files.filter(F.col("run_id").isin(runs) & F.col("artifact_id").isin(artifacts))
+
+
 def _lander(root: str, name: str):
     # local, so that it ships by value and workers need not have this package installed
     def land(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +226,7 @@ def html_logs(
     def read(wanted: Keys | None = None) -> DataFrame:
         if isinstance(wanted, DataFrame) and not listed:
             listed.append(_listed(found))
-        return _only(found, wanted, *listed).select(
+        return _wanted(found, wanted, *listed).select(
             *_ids(F.col("_metadata.file_path")),
             F.lit(0).alias("file_ord"),
             F.substring_index(_file_path(), "/", -1).alias("filename"),
@@ -215,7 +244,17 @@ def read_html_logs(
     ``wanted`` names the (run, artifact) pairs to read, by default all. Given as pairs, others may
     still come where both of their ids are wanted, which the join with the artifacts drops.
     """
-    return html_logs(spark, path, files)(wanted)
+    found = spark.read.option("pathGlobFilter", files).text(path, wholetext=True)
+    named = found.withColumn("filename", F.substring_index(_file_path(), "/", -1))
+    return _ids_from_path(
+        _only(named, wanted).select(
+            "run_id",
+            "artifact_id",
+            F.lit(0).alias("file_ord"),
+            "filename",
+            F.make_valid_utf8("value").alias("html"),
+        )
+    )
 
 
 def log_lines(
@@ -223,15 +262,20 @@ def log_lines(
 ) -> DataFrame:
     """The logs of :func:`read_html_logs` line by line: one row a line, in order within each byte
     range (``file``, ``start``) that Spark reads by itself."""
-    with _reader(spark, files) as reader:
-        found = reader.option("lineSep", "\n").text(path)
-    return _only(found, wanted).select(
-        *_ids(F.col("_metadata.file_path")),
-        F.substring_index(_file_path(), "/", -1).alias("filename"),
-        F.xxhash64("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.make_valid_utf8("value").alias("value"),
+    lines = (
+        spark.read.option("pathGlobFilter", files)
+        .option("lineSep", "\n")
+        .text(path)
+        .select(
+            "run_id",
+            "artifact_id",
+            F.substring_index(_file_path(), "/", -1).alias("filename"),
+            F.xxhash64("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.make_valid_utf8("value").alias("value"),
+        )
     )
+    return _ids_from_path(_only(lines, wanted))
 
 
 def _unzipper():
@@ -272,9 +316,8 @@ def read_zip_logs(spark: SparkSession, path: str, wanted: Keys | None = None) ->
     ``error`` and no text, after the members before the damage. ``wanted`` as for
     :func:`read_html_logs`; archives of other artifacts are neither read nor unzipped.
     """
-    with _reader(spark, "*.zip") as reader:
-        found = reader.format("binaryFile").load(path)
-    return unzipped(_only(found, wanted).select(*_ids(F.col("_metadata.file_path")), "content"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return unzipped(_ids_from_path(_only(files, wanted).select("run_id", "artifact_id", "content")))
 
 
 def unzipped(archives: DataFrame) -> DataFrame:
